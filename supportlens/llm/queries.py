@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportlens.llm import conversations, copies, overlap, packing, tokens
+from supportlens.llm import conversations, copies, overlap, packing, pairs, tokens
 from supportlens.sources.tables import stage, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, sf_dir, "historical_resolution"), "resolution_id", "customer_text", "brand_text")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = overlap.overlaps(table(spark, sf_dir, "agent_evaluation"), table(spark, sf_dir, "historical_resolution"), table(spark, sf_dir, "split_manifest"))
     return found.select("example_id", "resolution_id")
@@ -51,7 +55,7 @@ def p9_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(caps, "window_id").select("window_id", "capacity_tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("lower_bound"), "fullest")
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_usage": p9_usage}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_usage": p9_usage}
 
 _LINKS = r"""
 m AS (SELECT tweet_id, max(struct_pack(line_no := line_no, up := in_response_to_tweet_id, author_id := author_id, inbound := inbound, created_at := created_at, txt := text)) AS m FROM twcs WHERE tweet_id IS NOT NULL GROUP BY 1),
