@@ -352,7 +352,8 @@ def defect(measured: list[dict], tags: list[int]) -> str | None:
         return "copy"
     if tags and tags[-1] == UNFINISHED:
         return "truncated"
-    if cover[REFUSAL] and not cover[ANSWER] and cover[FOREIGN] <= cover[REFUSAL]:
+    offers = any(t == ANSWER and (m["link"] or len(m["words"]) > 4) for m, t in zip(measured, tags))  # shorter ones are farewells
+    if cover[REFUSAL] and not offers and cover[FOREIGN] <= cover[REFUSAL]:
         return "refusal"
     if cover[FOREIGN] and cover[FOREIGN] > cover[ANSWER] + cover[REFUSAL]:
         return "other_language"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportlens.llm import conversations, copies, overlap, packing, pairs, tokens
+from supportlens.llm import conversations, copies, overlap, packing, pairs, pii, tokens
+from supportlens.functions.ids import latest
 from supportlens.sources.tables import stage, table
 
 
@@ -22,6 +23,27 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(p2_found(spark, sf_dir), table(spark, sf_dir, "agent_evaluation"), table(spark, sf_dir, "split_manifest"))
 
 
+def _personal(spark: SparkSession, sf_dir: str):
+    tweets = latest(table(spark, sf_dir, "twcs"), "text").select("tweet_id", "text")
+    pairs_ = table(spark, sf_dir, "historical_resolution").select("resolution_id", "customer_text")
+    tweets = stage(tweets, "tweets")
+    return tweets, pairs_, pii.learn(pii.texts_of((tweets, "text"), (pairs_, "customer_text")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tweets, pairs_, learned = _personal(spark, sf_dir)
+    a = pii.find(tweets, learned, ("tweet_id",), "text").select(F.lit("twcs").alias("table_name"), F.col("tweet_id").alias("record_id"), "pii_type")
+    b = pii.find(pairs_.filter("resolution_id is not null"), learned, ("resolution_id",), "customer_text").select(F.lit("historical_resolution").alias("table_name"), F.col("resolution_id").alias("record_id"), "pii_type")
+    return a.unionByName(b.distinct())
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tweets, pairs_, learned = _personal(spark, sf_dir)
+    a = pii.masked(tweets, learned, "tweet_id", "text").select(F.lit("twcs").alias("table_name"), F.col("tweet_id").alias("record_id"), "masked")
+    b = pii.masked(pairs_, learned, "resolution_id", "customer_text").select(F.lit("historical_resolution").alias("table_name"), F.col("resolution_id").alias("record_id"), "masked")
+    return a.unionByName(b)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(table(spark, sf_dir, "twcs"), table(spark, sf_dir, "brand_accounts"))
 
@@ -55,7 +77,7 @@ def p9_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(caps, "window_id").select("window_id", "capacity_tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("lower_bound"), "fullest")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_usage": p9_usage}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_usage": p9_usage}
 
 _LINKS = r"""
 m AS (SELECT tweet_id, max(struct_pack(line_no := line_no, up := in_response_to_tweet_id, author_id := author_id, inbound := inbound, created_at := created_at, txt := text)) AS m FROM twcs WHERE tweet_id IS NOT NULL GROUP BY 1),
