@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportlens.llm import conversations, copies, overlap, packing, pairs, pii, tokens
+from supportlens.llm import conversations, copies, overlap, packing, pairs, pii, subjects, tokens
 from supportlens.functions.ids import latest
 from supportlens.sources.tables import stage, table
 
@@ -77,7 +77,15 @@ def p9_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(caps, "window_id").select("window_id", "capacity_tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("lower_bound"), "fullest")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_usage": p9_usage}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(*(table(spark, sf_dir, t) for t in ("documents", "subject_examples", "subject_areas"))).select("doc_id", "subject")
+
+
+def p10_make_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.make_up(table(spark, sf_dir, "documents"), p10_found(spark, sf_dir), ["lang", "source"])
+
+
+QUERIES = {"p10_found": p10_found, "p10_make_up": p10_make_up, "p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_usage": p9_usage}
 
 _LINKS = r"""
 m AS (SELECT tweet_id, max(struct_pack(line_no := line_no, up := in_response_to_tweet_id, author_id := author_id, inbound := inbound, created_at := created_at, txt := text)) AS m FROM twcs WHERE tweet_id IS NOT NULL GROUP BY 1),
