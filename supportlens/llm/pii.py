@@ -150,10 +150,13 @@ def learn(texts: DataFrame, rounds: int = 3) -> Learned:
     common = {r["instance"] for r in counted.filter(F.col("all") >= often).select("instance").collect()}  # at most 5,000
     rare = stage(names.join(counted.filter(F.col("all") < often).select("instance"), "instance").withColumn("tokens", F.filter(F.split("instance", " "), lambda t: (F.length(t) > 1) & ~t.isin(*_TITLE_SET))), "pii-names")
     trusted = rare.filter("known = 'name'").select("instance", "tokens").distinct()
+    spread = stage(rare.select("instance", "tokens").distinct().select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("pairs")), "pii-spread")
     name_patterns: set[str] = set()
     for k in range(rounds + 1):
         token_least = max(2, trusted.count() // 50_000)
-        known = stage(trusted.select(F.explode("tokens").alias("token"), "instance").groupBy("token").agg(F.count_distinct("instance").alias("support")).filter(F.col("support") >= token_least).select("token"), "pii-tokens")
+        # a token must be met in trusted pairs, and not mostly in others: a word of the language is in pairs of all kinds
+        support = trusted.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("support"))
+        known = stage(support.join(spread, "token").filter((F.col("support") >= token_least) & (F.col("support") >= 0.25 * F.col("pairs"))).select("token"), "pii-tokens")
         if k == rounds:
             break
         pairs = rare.select("pattern", "instance", F.explode("tokens").alias("token")).distinct().join(known.withColumn("hit", F.lit(1)), "token", "left").groupBy("pattern", "instance").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
