@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from supportlens.plans import core_problems
+from supportlens.plans import core_problems, model_queries, text_queries
 
-FLAGSHIP = "p4_found"
-QUERIES = {**core_problems.QUERIES}
-SQL = {**core_problems.SQL}
+FLAGSHIP = "risk_levels"
+QUERIES = {**core_problems.QUERIES, **text_queries.QUERIES, **model_queries.QUERIES}
+SQL = {**core_problems.SQL, **text_queries.SQL, **model_queries.SQL}
