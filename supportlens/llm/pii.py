@@ -176,6 +176,7 @@ _SPELLED_DOT = re.compile(r"\b(?:dot|punkt|punto|point)\b", re.I)
 
 
 _TOKEN = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
 _STREET_SET = set(_STREETS.split("|"))
 _ROAD_SET = set("rue avenue boulevard bd place chemin impasse quai allée cours route square passage calle c avenida avda av plaza paseo camino carretera ronda travesía glorieta".split())
 _DE_ROADS = ("straße", "strasse", "str.", "platz", "weg ", "gasse ", "allee ", "ufer ", "damm ", "ring ", "steig ", "graben ")
@@ -196,7 +197,9 @@ class Finder:
         self.cue_list = [c.replace("’", "'") for c in cues]
         self.loose_name = re.compile(r"\b(" + "|".join(r"\W{1,3}".join(re.escape(w) for w in p.split()) for p in cues) + r")\b[\s,:]+((?:(?:" + TITLES + rf")\.?\s+)?{_L}[\w’'-]*,? (?:{_L}\.? )?{_L}[\w’'-]*)", re.I) if cues else None
         last = lambda kind: {p.split()[-1] for p, k in patterns.items() if k == kind and p}
-        self.id_words, self.phone_words = _ID_SET | last("id_number"), _PHONE_SET | last("phone")
+        self.id_words = _ID_SET | {w for w in last("id_number") if len(w) > 3}
+        self.phone_words = _PHONE_SET | last("phone")
+        self.cue_words = {_TOKEN.findall(c)[-1] for c in self.cue_list}
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         out: list[tuple[int, int, str]] = []
@@ -214,13 +217,14 @@ class Finder:
             for m in SPELLED_EMAIL.finditer(text):
                 if not m["at"].strip().isalpha() or _SPELLED_DOT.search(m[0]) or "." in text[m.end("at") : m.end()]:
                     add(*m.span(), "email")
-        if any(map(str.isdigit, low)):
-            if toks & self.id_words:
+        digits = len(_DIGIT.findall(text))
+        if digits:
+            if digits >= 5 and toks & self.id_words:
                 for m in _numbers(text):
                     cue = _cue(text, m.start())
                     if not NOT_ID_CUES.search(cue) and (ID_CUES.search(cue) or (self.patterns.get(pattern(text, m.start())) == "id_number" and not PHONE_CUES.search(cue))):
                         add(*m.span(), "id_number")
-            forms = [STRONG_PHONE] * ("+" in text or "00" in text or "(" in text or "555" in text) + [WEAK_PHONE] * bool(toks & self.phone_words)
+            forms = [STRONG_PHONE] * ("+" in text or "00" in text or "(" in text or "555" in text) + [WEAK_PHONE] * bool(toks & self.phone_words) if digits >= 7 else []
             for rx in forms:
                 for m in rx.finditer(text):
                     if sum(map(str.isdigit, m[0])) < 7:
@@ -267,20 +271,28 @@ class Finder:
                 continue
             if family.lower() in self.tokens or len(parts) == 3 and parts[1].lower() in self.tokens or (title in ("mr", "mrs", "ms", "mx", "dr", "prof", "herr", "sr", "sra", "mme", "mlle")):
                 add(*m.span(), "name")
+        if not toks & self.tokens and not toks & self.cue_words:
+            return
         shouted = text.isupper()
         # in texts set in capitals or title case a capital says nothing
-        styled = shouted or sum(w[:1].isupper() for w in text.split()) > 0.6 * len(text.split())
+        parts = text.split()
+        styled = shouted or sum(w[:1].isupper() for w in parts) > 0.6 * len(parts)
         for m in PAIR.finditer(text) if toks & self.tokens else ():
             a, b = m[1].lower(), m[3].lower()
             if a in _TITLE_SET:
                 continue
             hits = self._known(a) + self._known(b)
-            if f"{a} {b}" in self.common or a in _NO_NAME or b in _NO_NAME:
+            if not hits or a in _NO_NAME or b in _NO_NAME or (not styled and (m[3].isupper() and len(b) < 4)):
                 continue
-            if hits == 2 and not (shouted and m[2] == ", ") or hits and not styled:
+            ahead, behind = _TOKEN.match(low, m.end() + 1), _TOKEN.findall(low[max(0, m.start() - 20) : m.start()])
+            if {f"{a} {b}", f"{b} {ahead[0] if ahead else ''}", f"{behind[-1] if behind else ''} {a}"} & self.common:
+                continue
+            if hits == 2 and not (shouted and m[2] == ", ") or not styled:
                 add(*m.span(), "name")
+        if not self.loose_name or not toks & self.cue_words:
+            return
         plain = low.replace("’", "'")
-        if self.loose_name and any(c in plain for c in self.cue_list):
+        if any(c in plain for c in self.cue_list):
             for m in self.loose_name.finditer(text):
                 parts = re.findall(r"[\w’'-]+", m[2])
                 if any(p.lower() in _NO_NAME for p in parts):
