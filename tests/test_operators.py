@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from supportlens.functions import ids
 from supportlens.functions import text as T
-from supportlens.operators import classify, metrics, retrieval, rules, splits, threads
+from supportlens.operators import classify, metrics, retrieval, review, rules, splits, threads
 from supportlens.sources import files
 from supportlens.streaming import scorer
 
@@ -171,3 +171,10 @@ def test_stream_equals_batch(spark, tmp_path):
     assert scorer.replay(scorer.score(stream), "t1").exceptAll(scorer.score(m)).count() == 0
     got = scorer.replay(scorer.sessions(spark.readStream.schema(m.schema).parquet(str(tmp_path / "m")), "author"), "t2")
     assert sorted((r["author"], r["messages"]) for r in got.collect()) == [("c", 1), ("c", 2)]
+
+
+def test_review(spark):
+    assert [one(spark, x, review.request_error) for x in ("hi", " ", None, "x" * 4001)] == [None, "blank", "missing", "too long"]
+    assert [one(spark, x, review.parsed_score) for x in ('```json\n{"score": 4}\n```', '{"score": 6}', '{"score": 3.5}', "score 4", '{"score": true}', None)] == [4, None, None, None, None, None]
+    df = spark.createDataFrame([("a b | [brand] my phone died", "my phone died"), ("my phone dies now | thanks", "my phone died now"), (None, "x"), ("a", None)], "c string, m string")
+    assert sorted(map(tuple, review.turn_position(df, "c", "m").select("m", "turn").na.fill("-", ["m"]).collect())) == [("-", 0), ("my phone died", 1), ("my phone died now", 0), ("x", -1)]
