@@ -104,4 +104,18 @@ f AS (SELECT id AS tweet_id, root, orphan, regexp_replace(m.txt, '[\s\p{Z}\p{C}\
     WHEN c LIKE '0000%' THEN NULL ELSE try_cast(c AS TIMESTAMPTZ) END AS ts FROM t JOIN e USING (id)),
 g AS (SELECT root FROM f GROUP BY 1 HAVING NOT bool_or(orphan OR ts IS NULL) AND min(CASE WHEN visible AND NOT brand THEN struct_pack(ts := ts, tweet_id := tweet_id) END) < max(CASE WHEN visible AND brand THEN struct_pack(ts := ts, tweet_id := tweet_id) END))
 SELECT root AS root_id, row_number() OVER (PARTITION BY root ORDER BY ts, tweet_id) AS position, tweet_id, CASE WHEN brand THEN 'brand' ELSE 'customer' END AS role FROM f JOIN g USING (root) WHERE visible""",
+    "p2_found": r"""WITH src AS (SELECT 'e' AS side, example_id AS id, lower(trim(conversation_id)) AS conv, customer_message AS t FROM agent_evaluation WHERE example_id IS NOT NULL
+  UNION ALL SELECT 't', resolution_id, lower(trim(conversation_id)), customer_text FROM historical_resolution WHERE resolution_id IS NOT NULL AND lower(trim(conversation_id)) IN (SELECT lower(trim(conversation_id)) FROM split_manifest WHERE lower(trim(split)) = 'train')),
+w AS (SELECT side, id, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(t), '(https?://|www\.)[^\s]+', ' ', 'g'), '@[\p{L}\p{N}_]+', ' ', 'g'), '[''’‘ʼ`´′]', '', 'g'), '[\p{L}\p{N}]+')) AS w FROM src),
+c AS (SELECT side, id, w, count(*) AS c FROM w GROUP BY 1, 2, 3), n AS (SELECT side, id, sum(c) AS n FROM c GROUP BY 1, 2),
+s AS (SELECT a.id AS e, b.id AS t, sum(least(a.c, b.c)) AS k FROM c a JOIN c b ON a.w = b.w AND a.side = 'e' AND b.side = 't' GROUP BY 1, 2)
+SELECT e AS example_id, t AS resolution_id FROM s JOIN n x ON x.side = 'e' AND x.id = e JOIN n y ON y.side = 't' AND y.id = t WHERE 5 * k >= 4 * greatest(x.n, y.n)
+UNION SELECT a.id, b.id FROM src a JOIN src b ON a.conv = b.conv AND a.side = 'e' AND b.side = 't'""",
+    "p7_found": r"""WITH x AS (SELECT resolution_id AS id, unnest([customer_text, brand_text]) AS t, unnest([1, 2]) AS side FROM historical_resolution WHERE resolution_id IS NOT NULL),
+y AS (SELECT id, side, regexp_replace(replace(lower(coalesce(t, '')), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') AS plain,
+  CASE WHEN regexp_matches(t, '^[^\p{L}\p{N}]*\p{L}[\p{L} ]{0,24}\s*[:=]') THEN string_split(regexp_replace(t, '[\n;|]+([^\p{L}\p{N}]*\p{L}[\p{L} ]{0,24}\s*[:=])', chr(1) || '\1', 'g'), chr(1)) END AS parts FROM x),
+z AS (SELECT id, side, plain, CASE WHEN len(parts) > 1 THEN array_to_string(list_sort(list_filter(list_transform(parts, lambda p: regexp_replace(replace(lower(p), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g')), lambda p: p <> '')), chr(10)) END AS nested FROM y),
+r AS (SELECT id, list_sort(list(plain)) AS k, CASE WHEN bool_or(nested IS NOT NULL) THEN list_sort(list(coalesce(nested, plain))) END AS f FROM z GROUP BY 1),
+g AS (SELECT id, coalesce(array_to_string(min(f) OVER (PARTITION BY k), chr(2)), array_to_string(k, chr(2))) AS key FROM r)
+SELECT kept_id, id AS copy_id FROM (SELECT id, min(id) OVER (PARTITION BY key) AS kept_id FROM g) WHERE id <> kept_id""",
 }
