@@ -61,11 +61,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of the shared folder's file system."""
+    sc = spark.sparkContext
+    for path in paths:
+        jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def unstage(*frames: DataFrame | None) -> None:
     """Deletes staged tables that no later plan reads."""
     for df in frames:
         path = getattr(df, "staged_at", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
+            remove(df.sparkSession, path)
