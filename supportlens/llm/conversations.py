@@ -33,7 +33,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from supportlens.functions.ids import bare_id, flag, handle_key, instant, latest, visible
 from supportlens.operators.hierarchy import CYCLE, hierarchy, missing_parents
-from supportlens.sources.tables import new_path, ship, stage, unstage
+from supportlens.sources.tables import new_path, remove, ship, stage
 
 MESSAGE = "bucket long, root_id string, tweet_id string, at long, brand boolean, visible boolean, broken boolean, arrived timestamp"
 RESULT = "root_id string, position long, tweet_id string, role string"
@@ -115,7 +115,7 @@ def _replayed(messages: DataFrame, idle: str, lateness: str) -> DataFrame:
     stream = spark.readStream.schema(MESSAGE).parquet(at)
     query = assemble(stream, idle, lateness).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    unstage(*[type("At", (), {"staged_at": p, "sparkSession": spark})() for p in (at, progress)])
+    remove(spark, at, progress)
     return spark.read.schema(RESULT).parquet(out)
 
 
