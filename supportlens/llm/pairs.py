@@ -386,7 +386,10 @@ def broken_pairs(rows: DataFrame, id_col: str, prompt_col: str, response_col: st
     last = base.select("id", "response").mapInArrow(_open_ends, "id string, order int, gram long").distinct()
     seen = last.join(ends, "gram", "left").groupBy("id").agg(F.collect_list(F.struct("order", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ends", "on", "loose")])).alias("seen"))  # at most five a row
     full = base.join(seen, "id", "left")
-    taken = full.orderBy(F.xxhash64("id", "prompt", "response")).limit(sample).collect()  # bounded by the parameter
+    # the smallest hashes lie below a cut that leaves about twice the sample, so that no task sends rows in vain
+    order = F.xxhash64("id", "prompt", "response")
+    cut = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 2 * sample // max(1, base.count()))
+    taken = full.filter(order <= F.lit(cut)).orderBy(order).limit(sample).collect()  # bounded by the parameter
     reader, field = fit([(r["prompt"], r["response"], [tuple(x) for x in r["seen"] or ()]) for r in taken])
     used = np.flatnonzero(np.abs(field.unary).sum(1) > 0)
     shared = spark.sparkContext.broadcast((reader, used.astype(np.int32), field.unary[used], field.step))  # bounded by the sample
