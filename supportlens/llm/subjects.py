@@ -10,8 +10,9 @@ examples' sentences, which are trusted and stay clamped, and spread by joins:
 for a fixed number of rounds, the first of them over whole documents (documents of like terms get like labels). Terms found in all subjects alike carry nothing, so templates, names and places fall out
 by themselves. An edge is verified by its purity: a term below ``purity`` passes nothing on.
 
-Stock sentences, which make up at least 1/1500 of all sentences word for word (at most 1500 of them), are about no area:
-figures of speech and passing phrases recur as they stand, while a sentence about a matter varies.
+Stock sentences are about no area: figures of speech and passing phrases recur as they stand in documents of all subjects. How
+often a sentence recurs says nothing; it is stock where the documents it stands in surely share no subject (see ``_stock``).
+Documents of the same sentences count once there, so copies of a document add nothing.
 
 A document has every subject that holds at least a quarter of its labelled sentences. Whole texts are read.
 
@@ -24,6 +25,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 import xxhash
@@ -105,6 +108,20 @@ def _lead(scores: DataFrame, key: str, names: list[str], least: float, share: fl
     return rows.filter((F.col("best") >= least) & (F.col("best") >= share * sum((F.col(c) for c in names), F.lit(0.0)))).select(key, label.alias("label"))
 
 
+def _stock(among: DataFrame, names: list[str], purity: float) -> DataFrame:
+    """form: sentences whose documents share no subject. among: form, documents of each subject with it.
+
+    A subject must reach the purity of a term among them. What falls short of it by chance in one case of 20 is let pass (1.65
+    standard errors), so few documents prove nothing, and the rule is the same at every size.
+    """
+    whole = sum((F.col(c) for c in names), F.lit(0.0))
+    totals = among.agg(*[F.sum(c) for c in names]).first()
+    every = sum(x or 0.0 for x in totals) or 1.0
+    least = [max(purity, b + 0.3 * (1 - b)) for b in ((x or 0.0) / every for x in totals)]
+    reached = [F.col(c) / whole + 1.65 * (q * (1 - q)) ** 0.5 / F.sqrt(whole) >= q for c, q in zip(names, least)]
+    return among.filter(whole > 0).filter(~reduce(or_, reached)).select("form")
+
+
 def _spread(edges: DataFrame, seeds: DataFrame, read: DataFrame, n: int, rounds: int, purity: float, clamp: float) -> DataFrame:
     """form -> label (index of the subject), for the sentences that get one. seeds: term, subject, n."""
     names = [f"s{k}" for k in range(n)]
@@ -112,9 +129,13 @@ def _spread(edges: DataFrame, seeds: DataFrame, read: DataFrame, n: int, rounds:
     # first over documents: the examples are few, so a turn of phrase may stand beside one subject by chance; over a whole
     # document this averages out, and a term met in documents of many subjects passes nothing on
     scores = edges.join(_lexicon(seeded, names, 0.3), "term").groupBy("form").agg(*[F.sum(c).alias(c) for c in names])
-    per_document = read.join(scores, "form").groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in names])
-    documents = _lead(per_document, "doc_id", names, 1.0, 0.4)
-    among = read.join(documents, "doc_id").groupBy("form").agg(*[F.count_if(F.col("label") == k).cast("double").alias(c) for k, c in enumerate(names)])
+    per_document = read.join(scores, "form", "left").groupBy("doc_id").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names], F.xxhash64(F.array_sort(F.collect_set("form"))).alias("bag"))
+    distinct = per_document.groupBy("bag").agg(F.min_by(F.struct(*names), "doc_id").alias("of"), F.min("doc_id").alias("doc_id")).select("doc_id", "of.*")
+    documents = _lead(distinct, "doc_id", names, 1.0, 0.4)
+    among = stage(read.select("doc_id", "form").distinct().join(documents, "doc_id").groupBy("form").agg(*[F.count_if(F.col("label") == k).cast("double").alias(c) for k, c in enumerate(names)]), "subject-among")
+    plain = stage(edges.join(_stock(among, names, purity), "form", "left_anti"), "edges")
+    unstage(edges)
+    edges = plain
     counts = stage(edges.join(among, "form").groupBy("term").agg(*[F.sum(c).alias(c) for c in names]).withColumn("uses", sum((F.col(c) for c in names), F.lit(0.0))), "subject-terms")
     anchored = seeded.select("term", *[(F.col(c) * clamp).alias(c) for c in [*names, "uses"]])
     labels = None
@@ -141,9 +162,7 @@ def labelled_sentences(documents: DataFrame, examples: DataFrame, areas: DataFra
     seeds = examples.select(index.cast("int").alias("subject"), "text").filter("subject is not null and text is not null").mapInArrow(_read(1), "k0 int, form long, n long, terms array<long>").select(F.explode("terms").alias("term"), F.col("k0").alias("subject"), "n")
     if not subjects:
         return read.select("doc_id", F.lit(0).alias("label"), "n").limit(0), subjects
-    total = read.agg(F.sum("n")).first()[0] or 0
-    forms = read.groupBy("form").agg(F.sum("n").alias("n"), F.any_value("terms").alias("terms"))
-    forms = stage(forms.filter(F.col("n") < max(12, total // 1500)).select("form", "terms"), "forms")  # without stock sentences
+    forms = stage(read.groupBy("form").agg(F.any_value("terms").alias("terms")), "forms")
     edges = forms.select("form", F.explode("terms").alias("term"))
     size = forms.count()
     common = edges.groupBy("term").count().filter((F.col("count") > max(200, size // 50)) | (F.col("count") < 2)).select("term")

@@ -34,3 +34,15 @@ def test_subjects(spark):
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
     assert not any(i >= 900 for i, _ in got)
     assert S.subjects_of(d.limit(0), e, a).count() == 0 and S.subjects_of(d, e, a.limit(0)).count() == 0
+
+
+def test_copies_of_a_document_keep_their_subject(spark):
+    """A group of copies holds a third of the rows; its sentences are no stock phrases, those met beside all subjects are."""
+    rng = random.Random(3)
+    docs = [(i, " ".join([sentence(rng, ["music", "law"][i % 2]) for _ in range(6)] + rng.choices(STOCK, k=2))) for i in range(160)]
+    docs += [(i, docs[1][1]) for i in range(1000, 1080)] + [(2000, " ".join(STOCK))]
+    ex = [(s, f"The {a} comes up. Our notes mention the {b} before the {a}.") for s, a, b in ((s, *rng.sample(TERMS[s][:4], 2)) for s in TERMS for _ in range(6))]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ex, "subject string, text string")
+    got = {(r["doc_id"], r["subject"]) for r in S.subjects_of(d, e, spark.createDataFrame([("music",), ("law",)], "subject string")).collect()}
+    assert {(i, "law") for i in [1, *range(1000, 1080)]} <= got
+    assert not any(i == 2000 for i, _ in got)
