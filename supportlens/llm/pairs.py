@@ -11,7 +11,8 @@ their id), whose clauses are labelled by seed rules. The same sample fits word m
 (who writes such words), which find pairs whose texts changed places: these have no defect.
 
 How sentences end is counted over all responses: for groups of one to eight words, how often a sentence ends or goes
-on behind them. The counts stay in a table and are joined to the responses that end without a stop.
+on behind them. The counts stay in a table and are joined to the responses that end without a stop. Ends without a stop count once
+for responses of the same letters and digits, so copies of a response say nothing about it.
 
 Defined results: a null or blank response is empty; a null prompt has no echo and no language, so only empty,
 truncated and refusal apply; rows with a null id are left out; every row of a repeated id is judged, and one row comes
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportlens.sources.tables import ship
+from supportlens.sources.tables import ship, stage
 
 TAGS = ("answer", "courtesy", "refusal", "echo", "foreign", "unfinished")
 ANSWER, COURTESY, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(6)
@@ -69,6 +70,7 @@ _SIGNATURE = re.compile(r"\^\s?[^\W\d_]{1,3}\b")
 _CLAUSE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _ENDED = re.compile(r"(?:[.!?][)\]\"'”»*]*|[)\]\"”»*])$")
+_AFTER = re.compile(r"[^\w.!?…)\]\"'”»*:,;/&=-]+$")
 _DIGITS = re.compile(r"\d+")
 _HASH_SPACE = 1 << 17
 _ORDERS = (1, 2, 3, 5, 8)
@@ -103,14 +105,24 @@ def clauses(text: str) -> list[str]:
     return [c for c in (x.strip() for x in _CLAUSE.split(own_text(text))) if _WORD.search(c)]
 
 
+def _stops(text: str) -> bool:
+    """Whether a text ends with a full stop, whatever signs follow it."""
+    t = _AFTER.sub("", text)
+    return bool(_ENDED.search(t)) and not t.endswith(("...", "…"))
+
+
+def _own_key(text: str) -> int:
+    """Equal for copies of a response: its letters and digits, in any dress and order of its fields."""
+    return _h("".join(sorted(c for c in own_text(text).casefold() if c.isalnum())))
+
+
 def open_end(text: str) -> list[str] | None:
     """The last clause's tokens, where a response ends without a full stop; null where it has one or no words.
 
     A leading ``^`` stands for the start of the clause.
     """
     t = own_text(text)
-    t = re.sub(r"[^\w.!?…)\]\"'”»*:,;/&=-]+$", "", t)
-    if not t or (_ENDED.search(t) and not t.endswith(("...", "…"))):
+    if not _AFTER.sub("", t) or _stops(t):
         return None
     parts = clauses(text)
     return ["^", *_tokens(parts[-1])][-_ORDERS[-1] :] if parts else None
@@ -124,14 +136,14 @@ def end_keys(last: list[str]) -> dict[int, str]:
 
 def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: tuple[Counter[str], Counter[str], Counter[str]] = Counter(), Counter(), Counter()
+        counts: tuple[Counter[str], Counter[str]] = Counter(), Counter()
         for text in batch.column(0).to_pylist():
             parts = clauses(text) if text else []
             for k, part in enumerate(parts):
                 toks = ["^", *_tokens(part)]
-                stopped = bool(_ENDED.search(part)) and not part.endswith(("...", "…")) or k + 1 < len(parts)
-                for i in range(1, len(toks)):
-                    into = counts[1] if i + 1 < len(toks) else counts[0] if stopped else counts[2]
+                stopped = k + 1 < len(parts) or _stops(part)
+                for i in range(1, len(toks) if stopped else len(toks) - 1):
+                    into = counts[1] if i + 1 < len(toks) else counts[0]
                     for n in _ORDERS:
                         if n < i:
                             into[" ".join(toks[i - n + 1 : i + 1])] += 1
@@ -140,27 +152,29 @@ def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                 into[" ".join(toks[1 : i + 1])] += 1
                             if n == _ORDERS[-1]:
                                 into[" ".join(toks[max(0, i - n + 1) : i + 1])] += 1
-        keys = list(counts[0].keys() | counts[1].keys() | counts[2].keys())
-        yield pa.RecordBatch.from_arrays([pa.array([_h(k) for k in keys], pa.int64()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], names=["gram", "ends", "on", "loose"])
+        keys = list(counts[0].keys() | counts[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array([_h(k) for k in keys], pa.int64()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], names=["gram", "ends", "on"])
 
 
 def _open_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, orders, grams = [], [], []
+        ids, orders, grams, owns = [], [], [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             last = open_end(text) if text else None
+            own = _own_key(text) if last else 0
             for n, key in (end_keys(last) if last else {}).items():
                 ids.append(i)
                 orders.append(n)
                 grams.append(_h(key))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(orders, pa.int32()), pa.array(grams, pa.int64())], names=["id", "order", "gram"])
+                owns.append(own)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(orders, pa.int32()), pa.array(grams, pa.int64()), pa.array(owns, pa.int64())], names=["id", "order", "gram", "own"])
 
 
 def breaks_off(last: list[str] | None, seen: list[tuple[int, int, int, int]]) -> bool:
     """Whether a response without a stop ends inside a sentence.
 
     seen: (order, ends, goes on, loose) of its groups of last words: how often a sentence of the corpus ends behind
-    the group with a stop, goes on, or ends a response without a stop (this one among them). A last word or link that occurs nowhere
+    the group with a stop, goes on, or ends a distinct response without a stop (this one among them). A last word or link that occurs nowhere
     inside or at the stop of a sentence is a broken one. Else the longest group that is known decides: broken if sentences go on
     behind it twenty times as often as they end. Where a group is only known from loose ends, its last word must be one that ends
     sentences.
@@ -382,9 +396,10 @@ def broken_pairs(rows: DataFrame, id_col: str, prompt_col: str, response_col: st
     spark = rows.sparkSession
     ship(spark)
     base = rows.select(F.col(id_col).cast("string").alias("id"), F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response")).filter("id is not null")
-    ends = base.select("response").mapInArrow(_count_ends, "gram long, ends long, on long, loose long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("ends", "on", "loose")])
-    last = base.select("id", "response").mapInArrow(_open_ends, "id string, order int, gram long").distinct()
-    seen = last.join(ends, "gram", "left").groupBy("id").agg(F.collect_list(F.struct("order", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ends", "on", "loose")])).alias("seen"))  # at most five a row
+    ends = base.select("response").mapInArrow(_count_ends, "gram long, ends long, on long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("ends", "on")])
+    last = stage(base.select("id", "response").mapInArrow(_open_ends, "id string, order int, gram long, own long").distinct(), "open-ends")
+    loose = last.select("gram", "own").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("loose"))
+    seen = last.select("id", "order", "gram").distinct().join(loose, "gram").join(ends, "gram", "left").groupBy("id").agg(F.collect_list(F.struct("order", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ends", "on", "loose")])).alias("seen"))  # at most five a row
     full = base.join(seen, "id", "left")
     # the smallest hashes lie below a cut that leaves about twice the sample, so that no task sends rows in vain
     order = F.xxhash64("id", "prompt", "response")

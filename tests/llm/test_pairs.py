@@ -75,3 +75,13 @@ def test_viterbi_is_exact():
 def test_very_long_response(spark):
     df = spark.createDataFrame([("1", "word " * 20_000, "Clear it now. " * 5_000)], "rid string, q string, a string")
     pairs.broken_pairs(df, "rid", "q", "a").collect()
+
+
+def test_copies_of_a_truncated_response_do_not_vouch_for_each_other(spark):
+    """Stored several times, also in another dress, a response that breaks off behind a whole word stays truncated."""
+    cut = "Thanks for the details. Hold the side button for 30 seconds until the"
+    rows = corpus() + [(f"t{i}", ASK[0], [cut, cut.upper(), cut.replace(" ", "  ").replace(".", " !")][i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "rid string, q string, a string")
+    got = dict(map(tuple, pairs.broken_pairs(df, "rid", "q", "a").collect()))
+    assert {got.get(f"t{i}") for i in range(300)} == {"truncated"}
+    assert not {k for k in got if k.startswith("ok")}
