@@ -37,7 +37,7 @@ from supportlens.sources.tables import new_path, remove, ship, stage
 
 MESSAGE = "bucket long, root_id string, tweet_id string, at long, brand boolean, visible boolean, broken boolean, arrived timestamp"
 RESULT = "root_id string, position long, tweet_id string, role string"
-_MARKER = -1
+_MARKER, _MARKED = -1, 7258118400
 
 
 def _closed(held: pd.DataFrame) -> pd.DataFrame:
@@ -103,14 +103,14 @@ def messages_of(twcs: DataFrame, accounts: DataFrame, rows_per_bucket: int = 4_0
     buckets = max(1, links.count() // rows_per_bucket)
     keyed = links.join(roots.select("tweet_id", "root_id"), "tweet_id").filter(F.col("root_id") != CYCLE).join(heads, "root_id").join(brands, "author", "left")
     out = keyed.select(F.pmod(F.xxhash64("root_id"), F.lit(buckets)).alias("bucket"), "root_id", "tweet_id", "at", F.coalesce("brand", "listed", F.lit(False)).alias("brand"), "visible", "broken",
-                       F.coalesce("arrived", F.timestamp_seconds(F.lit(0))).alias("arrived"), "size")
+                       F.least(F.greatest("arrived", F.timestamp_seconds(F.lit(1))), F.timestamp_seconds(F.lit(_MARKED - 366 * 86400))).alias("arrived"), "size")  # above the first watermark, which is 0, and closed by the marker
     return out
 
 
 def _replayed(messages: DataFrame, idle: str, lateness: str) -> DataFrame:
     spark = messages.sparkSession
     at, out, progress = (new_path(spark, x) for x in ("replay", "conversations", "progress"))
-    marker = spark.range(1).select(F.lit(_MARKER).cast("long").alias("bucket"), *[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in MESSAGE.split(", ")[1:-1])], F.timestamp_seconds(F.lit(7258118400)).alias("arrived"))
+    marker = spark.range(1).select(F.lit(_MARKER).cast("long").alias("bucket"), *[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in MESSAGE.split(", ")[1:-1])], F.timestamp_seconds(F.lit(_MARKED)).alias("arrived"))
     messages.select(*[x.split()[0] for x in MESSAGE.split(", ")]).unionByName(marker).write.parquet(at)
     stream = spark.readStream.schema(MESSAGE).parquet(at)
     query = assemble(stream, idle, lateness).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()

@@ -52,3 +52,11 @@ def test_late_messages_join_their_conversation_over_several_batches(spark, tmp_p
     q = C.assemble(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("r", 1, "1", "customer"), ("r", 2, "2", "brand"), ("old", 1, "8", "customer"), ("old", 2, "9", "brand")}
+
+
+def test_arrivals_outside_of_the_watermarks_range_are_kept(spark):
+    """Null, before 1970 and far in the future."""
+    times = [None, dt.datetime(1960, 1, 1), dt.datetime(2300, 1, 1), T0]
+    items = [(n, f"{9000 + 10 * k + n}", "77" if n == 1 else "Brand", str(n == 1), T0.strftime("%Y-%m-%dT%H:%M:%SZ"), "a", None, None if n == 1 else f"{9001 + 10 * k}", at, 0) for k, at in enumerate(times) for n in (1, 2)]
+    want = {(str(9001 + 10 * k), n, f"{9000 + 10 * k + n}", "customer" if n == 1 else "brand") for k in range(4) for n in (1, 2)}
+    assert {tuple(r) for r in C.rebuild(spark.createDataFrame(items, SCHEMA), accounts(spark)).collect()} == want
