@@ -127,7 +127,6 @@ def learn(texts: DataFrame, rounds: int = 3) -> Learned:
     """Patterns with their type, name tokens, and pairs too frequent to be a person, from a column ``text``."""
     cand = texts.mapInArrow(_candidates, "kind string, pattern string, instance string, known string, n long")
     cand = stage(cand.groupBy("kind", "pattern", "instance", "known").agg(F.sum("n").alias("n")), "pii-candidates")
-    total = cand.agg(F.sum("n")).first()[0] or 0
     patterns: dict[str, str] = {}
 
     # numbers: patterns score by the known types of their instances, unknown instances by those of their shapes
@@ -145,10 +144,12 @@ def learn(texts: DataFrame, rounds: int = 3) -> Learned:
 
     # names: tokens known from seeds, patterns by the share of distinct pairs with known tokens, and so on
     names = cand.filter("kind = 'name'")
-    often = max(50, total // 5_000)
-    counted = stage(names.groupBy("instance").agg(F.sum("n").alias("all")), "pii-pairs")
-    common = {r["instance"] for r in counted.filter(F.col("all") >= often).select("instance").collect()}  # at most 5,000
-    rare = stage(names.join(counted.filter(F.col("all") < often).select("instance"), "instance").withColumn("tokens", F.filter(F.split("instance", " "), lambda t: (F.length(t) > 1) & ~t.isin(*_TITLE_SET))), "pii-names")
+    # a pair is too frequent by the distinct patterns it is met behind, so repeated texts add nothing; where a quarter of these
+    # are cues of names, it is a person met often
+    counted = stage(names.groupBy("instance").agg(F.count_distinct("pattern").alias("all"), F.count_distinct(F.when(F.col("known") == "name", F.col("pattern"))).alias("cued")), "pii-pairs")
+    often = max(50, (counted.agg(F.sum("all")).first()[0] or 0) // 5_000)
+    frequent = (F.col("all") >= often) & (F.col("cued") < 0.25 * F.col("all"))
+    rare = stage(names.join(counted.filter(~frequent).select("instance"), "instance").withColumn("tokens", F.filter(F.split("instance", " "), lambda t: (F.length(t) > 1) & ~t.isin(*_TITLE_SET))), "pii-names")
     trusted = rare.filter("known = 'name'").select("instance", "tokens").distinct()
     spread = stage(rare.select("instance", "tokens").distinct().select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("pairs")), "pii-spread")
     name_patterns: set[str] = set()
@@ -166,6 +167,12 @@ def learn(texts: DataFrame, rounds: int = 3) -> Learned:
         trusted = rare.join(good, "pattern", "left_semi").select("instance", "tokens").distinct()
         name_patterns = {r["pattern"] for r in good.collect()}  # at most 20,000
     tokens = {r["token"] for r in known.collect()}  # at most 150,000
+    # the patterns learned may show that a frequent pair is a person after all
+    cues = good.withColumn("cue", F.lit(True))
+    shares = names.join(counted.filter(frequent).select("instance"), "instance").join(cues, "pattern", "left").groupBy("instance").agg(F.count_distinct("pattern").alias("all"), F.count_distinct(F.when((F.col("known") == "name") | F.col("cue"), F.col("pattern"))).alias("cued"))
+    judged = {r["instance"]: r["cued"] >= 0.25 * r["all"] for r in shares.collect()}  # at most 5,000
+    common = {pair for pair, person in judged.items() if not person}
+    tokens |= {t for pair, person in judged.items() if person for t in pair.split(" ") if len(t) > 1 and t not in _TITLE_SET}
     patterns |= {f"name:{p}": "name" for p in name_patterns | NAME_SEEDS}
     return patterns, tokens, common
 

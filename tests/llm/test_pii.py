@@ -39,3 +39,16 @@ def test_bootstrapping_finds_patterns_from_seeds(spark):
     assert masked["0"] == "hello, my name is [NAME]" and masked[str(len(rows) - 3)] is None and masked[str(len(rows) - 1)] == rows[-1] and masked["100"] == rows[100]
     assert pii.find(df.limit(0), learned, ("rid",), "body").count() == 0
     assert pii.learn(pii.texts_of((df.limit(0), "body")))[1] == set()
+
+
+def test_a_person_named_often_is_found(spark):
+    """A person in many copies of one message; a product met behind as many patterns is no person."""
+    people = [f"hello, my name is {a} {b}" for a in ("Linnea", "Osric", "Wendel") for b in ("Tarnworth", "Larkmere", "Vellado", "Grauby")] * 3
+    copies = ["my parcel for Linnea Tarnworth is late"] * 90
+    often = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)} thing {x} again" for i in range(60) for x in ("Nova Orbit",)]
+    rows = people + copies + often
+    learned = pii.learn(pii.texts_of((spark.createDataFrame([(t,) for t in rows], "body string"), "body")))
+    finder = pii.Finder(*learned)
+    assert "name" in {k for _, _, k in finder.spans(copies[0])}
+    assert "linnea tarnworth" not in learned[2] and "nova orbit" in learned[2]
+    assert not finder.spans(often[0])
