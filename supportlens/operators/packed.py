@@ -17,7 +17,7 @@ after it carries ``malformed``. Brackets likewise.
 
 Defined results: null, blank, placeholders (null, nan, none, n/a, []) and fields of separators only give no row;
 repeated values stay; a value that is not an id keeps its text with ``not_an_id``; texts of any length are
-parsed whole, in linear time for well-formed fields.
+parsed whole, in linear time, nested to any depth.
 """
 
 from __future__ import annotations
@@ -32,13 +32,19 @@ from pyspark.sql import functions as F
 _BLANKS = "\u00a0\u200b\ufeff"
 _SEP = re.compile(rf"[,;|/\s{_BLANKS}]+")
 _GROUPED = {q: re.compile(rf"{q}\s*(\d{{1,3}}(?:,\d{{3}})+)\s*{q}") for q in "\"'"}
+_CLOSING = {'"': '"', "'": "'", "[": "]"}
 _BARE = re.compile(rf"[^,;|/\s{_BLANKS}\"'\[\]]+")
 _NOTHING = {"null", "nan", "none", "n/a", "na", "nil", "undefined"}
 _FLOAT = re.compile(r"(\d+)\.0+")
 
 
 class _Parser:
-    """Recursive descent over the grammar; each rule returns the new place, or -1 where it fails."""
+    """The grammar over an explicit stack of open marks, so nesting is bounded by the field alone.
+
+    An enclosing rule fails with the first thing inside it that fails. So a failure closes all open rules at once: they are
+    remembered as failed, and the parser goes back to the outermost one and reads its mark as dressing. No mark is
+    tried again after that, hence linear time for malformed fields too.
+    """
 
     def __init__(self, text: str):
         self.text, self.end, self.malformed = text, len(text), False
@@ -48,53 +54,42 @@ class _Parser:
         m = _SEP.match(self.text, i)
         return m.end() if m else i
 
-    def _grouped(self, i: int) -> int:
-        m = _GROUPED[self.text[i]].match(self.text, i) if self.text[i] in "\"'" else None
-        if not m:
-            return -1
-        self.values.append((m[1].replace(",", ""), self.malformed))
-        return m.end()
-
-    def _enclosed(self, i: int, close: str) -> int:
-        if self.text.find(close, i + 1) < 0:
-            return -1
-        mark, flag = len(self.values), self.malformed
-        j = self._items(i + 1, close)
-        if j < self.end and self.text[j] == close:
-            return j + 1
-        del self.values[mark:]
-        self.malformed = flag
-        return -1
-
-    def _bare(self, i: int) -> int:
-        m = _BARE.match(self.text, i)
-        if not m:
-            return -1
-        self.values.append((m[0], self.malformed))
-        return m.end()
-
-    def _item(self, i: int) -> int:
-        c = self.text[i]
-        if c in "\"'":
-            j = self._grouped(i)
-            return j if j >= 0 else self._enclosed(i, c)
-        return self._enclosed(i, "]") if c == "[" else self._bare(i)
-
-    def _items(self, i: int, close: str) -> int:
-        i = self._sep(i)
-        while i < self.end and self.text[i] != close:
-            j = self._item(i)
-            if j < 0:
-                if close and self.text[i] in "\"'[]":
-                    return i  # the enclosing rule fails too, and is tried again from its start
-                self.malformed = True  # a stray mark: dressing
-                j = i + 1
-            i = self._sep(j)
-        return i
-
     def parse(self) -> list[tuple[str, bool]]:
-        self._items(0, "")
-        return self.values
+        text, values = self.text, self.values
+        open_: list[tuple[int, str]] = []  # (place of the mark, its closing mark)
+        failed: set[int] = set()
+        before = 0  # values found before the outermost open mark
+        i = self._sep(0)
+        while i < self.end or open_:
+            c = text[i] if i < self.end else ""
+            if open_ and c == open_[-1][1]:
+                open_.pop()
+                i = self._sep(i + 1)
+                continue
+            if c in _CLOSING and c:
+                m = _GROUPED[c].match(text, i) if c != "[" else None
+                if m:
+                    values.append((m[1].replace(",", ""), self.malformed))
+                    i = self._sep(m.end())
+                    continue
+                if i not in failed:
+                    if not open_:
+                        before = len(values)
+                    open_.append((i, _CLOSING[c]))
+                    i = self._sep(i + 1)
+                    continue
+            elif m := _BARE.match(text, i):
+                values.append((m[0], self.malformed))
+                i = self._sep(m.end())
+                continue
+            if open_:
+                failed.update(at for at, _ in open_)
+                i = open_[0][0]
+                del values[before:]
+                open_.clear()
+            self.malformed = True
+            i = self._sep(i + 1)
+        return values
 
 
 def parse_field(text: str | None) -> list[tuple[str, str | None]]:

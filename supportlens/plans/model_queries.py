@@ -9,7 +9,7 @@ from supportlens.functions import text as T
 from supportlens.operators import classify, metrics, retrieval, rules, splits
 from supportlens.plans.base import MSG, messages
 from supportlens.sources.files import append_new
-from supportlens.sources.tables import new_path, stage, table
+from supportlens.sources.tables import keep_until_exit, new_path, stage, table
 from supportlens.streaming import scorer
 
 QUERIES: dict = {}
@@ -35,11 +35,12 @@ def topic_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""SELECT label, n, examples FROM (SELECT label, count(*) AS n, string_agg(tweet_id, ',' ORDER BY tweet_id) FILTER (r <= 5) AS examples FROM (SELECT label, tweet_id, row_number() OVER (PARTITION BY label ORDER BY tweet_id) AS r FROM (SELECT tweet_id, unnest({rules.sql_labels('t')}) AS label FROM (SELECT tweet_id, max(struct_pack(line_no := line_no, t := text)).t AS t FROM twcs WHERE tweet_id IS NOT NULL GROUP BY 1) WHERE t IS NOT NULL)) GROUP BY 1)""")
 def topic_coverage(spark, sf):
-    """Messages per label, with the five smallest ids. The smallest are kept by partial aggregates, not by a sort of a label's rows."""
+    """Messages per label, with the five smallest ids: a limited window, which keeps five a label on the map side, twice."""
     rows = messages(spark, sf).filter("text is not null").select("tweet_id", F.explode(rules.labels(F.col("text"))).alias("label"))
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    salted = rows.groupBy("label", F.substring("tweet_id", -2, 2).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("tweet_id")), 1, 5).alias("ids"))
-    few = salted.groupBy("label").agg(F.array_join(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, 5), ",").alias("examples"))
+    best = lambda *by: F.row_number().over(retrieval.Window.partitionBy(*by).orderBy("tweet_id"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("tweet_id"), F.lit(64))).withColumn("r", best("label", "salt")).filter("r <= 5")
+    few = salted.withColumn("r", best("label")).filter("r <= 5").groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "tweet_id"))), lambda x: x["tweet_id"]), ",").alias("examples"))
     return counts.join(few, "label")
 
 
@@ -265,10 +266,14 @@ def classifier_predictions(spark, sf):
     return classify.predict(model, _eval(spark, sf).select("example_id", "gold_intent", "customer_message"), "customer_message", 0.25).drop("customer_message")
 
 
-def _replayed(spark, sf):
+def _replayed(spark, sf, closing: bool = False):
     at = new_path(spark, "messages")
     rows = messages(spark, sf)
+    if closing:
+        blank = {"inbound": F.lit(True), "ts": F.timestamp_seconds(F.lit(scorer.CLOSING))}
+        rows = rows.unionByName(spark.range(1).select(*[blank.get(c, F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes]))
     rows.write.parquet(at)
+    keep_until_exit(spark, at)
     return spark.readStream.schema(rows.schema).parquet(at)
 
 
@@ -277,7 +282,10 @@ def stream_scores(spark, sf):
     return scorer.replay(scorer.score(_replayed(spark, sf)).select("tweet_id", "topic", "risk"), "scores")
 
 
-@query()
+@query(""" , x AS (SELECT author, ts, tweet_id FROM msg WHERE inbound AND ts IS NOT NULL),
+s AS (SELECT author, ts, sum(new) OVER (PARTITION BY author ORDER BY ts, tweet_id) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY author ORDER BY ts, tweet_id)) <= 86400000000 THEN 0 ELSE 1 END AS new FROM x))
+SELECT author, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) + 86400000000 AS ended_us, count(*) AS messages FROM s GROUP BY author, s""", msg=True)
 def stream_sessions(spark, sf):
-    """Gap sessions of customers in append mode; the sessions that the watermark has passed."""
-    return scorer.replay(scorer.sessions(_replayed(spark, sf).filter("inbound"), "author"), "sessions")
+    """Gap sessions of customers in append mode. A marker row behind all others closes what is open at the end."""
+    got = scorer.replay(scorer.sessions(_replayed(spark, sf, closing=True).filter("inbound"), "author"), "sessions")
+    return got.filter(F.col("started") < F.timestamp_seconds(F.lit(scorer.CLOSING))).select("author", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "messages")

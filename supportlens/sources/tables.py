@@ -1,8 +1,9 @@
 """Reading the given Parquet tables and staging intermediate results.
 
 A staged table is written to the folder all executors share (``spark.checkpoint.dir``), so a lost
-executor costs a re-read and not the lineage. Only where that setting is missing (tests, a laptop)
-a folder of this machine is set up instead.
+executor costs a re-read and not the lineage. Only in local mode (tests, a laptop) a folder of this machine is set up
+where that setting is missing; on a cluster that is an error. What is staged is deleted by ``unstage`` as
+soon as no plan needs it, and the rest when the application ends.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder shared by all executors: ``spark.checkpoint.dir``; in local mode a temporary one where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="supportlens-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -48,6 +51,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def keep_until_exit(spark: SparkSession, *paths: str) -> None:
+    """Has folders of the shared folder deleted when the application ends, if nothing deletes them before."""
+    sc = spark.sparkContext
+    for path in paths:
+        jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df once to the shared folder and returns the written table: the lineage ends here.
 
@@ -56,6 +67,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    keep_until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

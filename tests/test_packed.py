@@ -36,6 +36,19 @@ def test_any_text_ends():
         parse_field(text)
 
 
+def test_deep_nesting_and_many_failures_end_soon():
+    import time
+
+    began = time.time()
+    n = 5000
+    assert parse_field("[" * n + "1" + "]" * n) == [("1", None)]
+    assert parse_field("[" * n + "1]") == [("1", "malformed")]
+    assert [v for v, _ in parse_field("['" * n + "12")] == ["12"]
+    assert [v for v, _ in parse_field("[" + "'1', " * n)] == ["1"] * n
+    assert [v for v, _ in parse_field("\"'[" * n + "7" + "]'\"" * (n - 1))] == ["7"]
+    assert time.time() - began < 10
+
+
 def test_table(spark):
     df = spark.createDataFrame([("1", "2000,2000", 5), ("2", None, 5), ("3", "[]", 5)], "id string, f string, position int")
     assert [tuple(r) for r in unpack(df, "id", "f").orderBy("position").collect()] == [("1", 1, "2000", None), ("1", 2, "2000", None)]
