@@ -6,13 +6,15 @@ held back is bounded by the lookahead, so memory stays constant however long a t
 * Words. The tokenizer cuts text into words by a fixed pattern. A word is settled once two more
   characters have been read behind it: every alternative of the pattern ends by the class of the next character,
   but for the contractions, which read up to two.
-* Inside a word, ids are merged by rank. Short words are merged outright and remembered. A longer word goes
-  through an automaton over its byte positions: the last token of each prefix is the one that fits behind the last
-  token of what precedes it, where two tokens fit if encoding their bytes together gives the two again. No token is
+* Inside a word, an automaton runs over the byte positions: the last token of each prefix is the one that fits behind the
+  last token of what precedes it, where two tokens fit if encoding their bytes together gives the two again. No token is
   longer than the longest entry of the merge list, the sufficient lookahead L; all later paths
-  therefore pass through one of the last L positions, and the tokens these have in common are settled.
+  therefore pass through one of the last L positions, and the tokens these have in common are settled. What the automaton
+  gave for a whole word is remembered, so a word met again costs a look-up.
 * Decoding feeds the tokens' bytes into an incremental UTF-8 state machine.
 
+Every text takes this one way, whatever its length.
+
 Defined results: null and empty texts have an empty list; special tokens are never used, their spelling in a text is
 ordinary text; every row of the input gives one row, repeated ids too; empty tables give empty results; other columns are
 not read.
@@ -35,7 +37,6 @@ WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 #: The same alternatives that can run on without end, for a word that goes on in the next chunk.
 _RUNS = {k: regex.compile(p) for k, p in {"letters": r"\p{L}*+", "digits": r"\p{N}*+", "signs": r"[^\s\p{L}\p{N}]*+", "blanks": r"\s*+"}.items()}
 _READ_ON = 2
-_SHORT = 96  # bytes of a word that is merged outright
 _LONG_WORD = 2048  # characters of an unsettled word, from which on its bytes go into the automaton
 _REMEMBERED = 400_000
 
@@ -51,10 +52,11 @@ class MergeList:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.lookahead = max(map(len, ranks))
-        self._words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
 
     def merge(self, word: bytes) -> tuple[int, ...]:
+        """The ids by plain merging in order of rank: what the automaton asks of two tokens."""
         ranks = self.ranks
         if (one := ranks.get(word)) is not None:
             return (one,)
@@ -71,18 +73,18 @@ class MergeList:
         return tuple(ranks[p] for p in parts)
 
     def word(self, text: str) -> tuple[int, ...]:
-        ids = self._words.get(text)
+        ids = self.words.get(text)
         if ids is None:
             raw = text.encode("utf-8", "surrogatepass")
-            if len(raw) <= _SHORT:
-                ids = self.merge(raw)
+            if (one := self.ranks.get(raw)) is not None:
+                ids = (one,)
             else:
                 stream = WordStream(self)
                 ids = (*stream.feed(raw), *stream.finish())
-            if len(self._words) >= _REMEMBERED:
-                self._words.clear()
+            if len(self.words) >= _REMEMBERED:
+                self.words.clear()
             if len(text) <= 64:
-                self._words[text] = ids
+                self.words[text] = ids
         return ids
 
     def fits(self, a: int, b: int) -> bool:
@@ -125,9 +127,8 @@ class WordStream:
             if prior < 0 and start:
                 continue
             if prior < 0 or m.fits(prior, token):
-                if m.merge(m.bytes_of[token]) == (token,):
-                    self.last.append(token)
-                    return
+                self.last.append(token)
+                return
         raise AssertionError("a byte without a token")
 
     def _path(self, place: int) -> list[int]:
@@ -189,12 +190,13 @@ class Encoder:
                 return out
             out += stream.finish()
             self.run = None
-        word, limit, done = self.m.word, len(self.held) if final else len(self.held) - _READ_ON, 0
-        for match in WORDS.finditer(self.held):
-            if match.end() > limit:
-                break
-            out += word(match[0])
-            done = match.end()
+        # the pattern leaves no character out, so the words end where the next ones begin
+        words, done = WORDS.findall(self.held), len(self.held)
+        while words and done > len(self.held) - (0 if final else _READ_ON):
+            done -= len(words.pop())
+        known, word = self.m.words.get, self.m.word
+        for w in words:
+            out += known(w) or word(w)
         self.held = self.held[done:]
         if not final and len(self.held) > _LONG_WORD and (m := WORDS.match(self.held)):
             body = m[0].lstrip(" ")[:1]
@@ -210,11 +212,6 @@ class Encoder:
 def encode(merges: MergeList, text: str | None, chunk: int = 65_536) -> list[int]:
     if not text:
         return []
-    if len(text) <= chunk:
-        word, out = merges.word, []
-        for w in WORDS.findall(text):
-            out += word(w)
-        return out
     encoder, out = Encoder(merges), []
     for i in range(0, len(text), chunk):
         out += encoder.feed(text[i : i + chunk])
