@@ -9,8 +9,9 @@ A record is hashed from the leaves up, like a Merkle tree:
 * the record is an unordered node over its two texts, as they may have changed places.
 
 Records are grouped by the root digest, in two narrow aggregations combined on the map side, so a group of any
-size costs one row a map task. Only records of groups with two or more members are compared in full: they are
-grouped again by the whole canonical text.
+size costs one row a map task. Only records of groups with two or more members are compared in full: the whole canonical
+texts behind one digest (letters in their order; or the sorted list of fields, each with its letters in their order) must be equal,
+and where they are not, the texts take the digest's place and the groups are formed again.
 
 A text may occur both as labelled fields and with its colons lost. So a record has two digests, ``plain`` (texts
 as single leaves) and ``nested`` (fields unordered); records are copies if they share either, and the closure
@@ -64,33 +65,55 @@ def _closure(pairs: DataFrame) -> DataFrame:
             return state
 
 
+def _canonical(a: Column, b: Column) -> Column:
+    """Both texts in an order of their own, as they may have changed places."""
+    return F.concat_ws("\x02", F.least(a, b), F.greatest(a, b))
+
+
+def _digests(texts: DataFrame) -> DataFrame:
+    """Adds the letters of both texts (pa, pb), or their sorted fields where they have some (na, nb), and both root digests."""
+    parts = texts.withColumns({"pa": letters(F.col("a")), "pb": letters(F.col("b")), "fa": fields(F.col("a")), "fb": fields(F.col("b"))})
+    parts = parts.withColumns({"na": F.coalesce(F.array_join("fa", "\n"), "pa"), "nb": F.coalesce(F.array_join("fb", "\n"), "pb")})
+    return parts.withColumns({"plain": _root(F.col("pa"), F.col("pb")), "nested": F.when(F.col("fa").isNotNull() | F.col("fb").isNotNull(), _root(F.col("na"), F.col("nb")))})
+
+
+def _grouped(keyed: DataFrame) -> DataFrame:
+    """id, plain, nested, key of the records in groups of two or more."""
+    label = _closure(keyed.filter("nested is not null").select("plain", "nested"))
+    named = keyed.join(label, "plain", "left").select("id", "plain", "nested", F.coalesce("label", "plain").alias("key"))
+    several = named.groupBy("key").agg(F.count_distinct("id").alias("n")).filter("n > 1").select("key")
+    return stage(named.join(several, "key").distinct(), "copies-suspects")
+
+
+def _told_apart(suspects: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """The suspects with digests that stand for one text each; null where they do already, as the full comparison shows."""
+    parts = _digests(texts).select(F.col("id").alias("own"), F.col("plain").alias("p"), F.col("nested").alias("n"), _canonical(F.col("pa"), F.col("pb")).alias("plain_full"), F.when(F.col("nested").isNotNull(), _canonical(F.col("na"), F.col("nb"))).alias("nested_full"))
+    # an id may stand for several rows: each is held against its own digests
+    full = suspects.join(parts, (F.col("id") == F.col("own")) & (F.col("plain") == F.col("p")) & F.col("nested").eqNullSafe(F.col("n")))
+    full = stage(full.select("id", "plain", "nested", "plain_full", "nested_full").distinct(), "copies-full")
+    out, same = full, True
+    for c in ("plain", "nested"):
+        mixed = stage(full.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(f"{c}_full").alias("low"), F.max(f"{c}_full").alias("high")).filter("low <> high").select(c, F.lit(True).alias(f"{c}_mixed")), "copies-mixed")
+        if mixed.limit(1).count():
+            same = False
+            out = out.join(mixed, c, "left").withColumn(c, F.when(F.col(f"{c}_mixed"), F.concat(c, F.lit(":"), f"{c}_full")).otherwise(F.col(c)))
+    if same:
+        unstage(full)
+        return None
+    return out.select("id", "plain", "nested")
+
+
 def copy_groups(rows: DataFrame, id_col: str, text_a: str, text_b: str) -> DataFrame:
     """id, kept_id and copies (of the whole group) for every record of a group of two or more."""
-    base = rows.select(F.col(id_col).alias("id"), F.col(text_a).alias("a"), F.col(text_b).alias("b")).filter("id is not null").withColumns(
-        {"fa": fields(F.col("a")), "fb": fields(F.col("b"))}
-    )
-    keyed = stage(
-        base.select(
-            "id",
-            _root(letters(F.col("a")), letters(F.col("b"))).alias("plain"),
-            F.when(F.col("fa").isNotNull() | F.col("fb").isNotNull(), _root(F.coalesce(F.array_join("fa", "\n"), letters(F.col("a"))), F.coalesce(F.array_join("fb", "\n"), letters(F.col("b"))))).alias("nested"),
-        ),
-        "copies-keys",
-    )
-    pairs = keyed.filter("nested is not null").select("plain", "nested")
-    label = _closure(pairs)
-    keyed = keyed.join(label, "plain", "left").select("id", F.coalesce("label", "plain").alias("key"), F.col("label").isNotNull().alias("has_fields"))
-    groups = keyed.groupBy("key").agg(F.count_distinct("id").alias("n")).filter("n > 1").select("key")
-    suspects = keyed.join(groups, "key").distinct()
-    # full comparison: the canonical texts themselves, not their digests. Where a member has labelled fields, all members
-    # are compared by their sorted letters, which any order of fields and any loss of colons leaves as it is.
-    texts = rows.select(F.col(id_col).alias("id"), F.col(text_a).alias("a"), F.col(text_b).alias("b"))
-    full = suspects.join(texts, "id").withColumns({"ca": letters(F.col("a")), "cb": letters(F.col("b"))})
-    whole = lambda c: F.when(F.col("has_fields"), F.array_join(F.array_sort(F.split(c, "")), "")).otherwise(c)
-    full = full.withColumns({"ca": whole(F.col("ca")), "cb": whole(F.col("cb"))}).select("id", "key", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"))
-    full = stage(full.distinct(), "copies-full")
-    kept = full.groupBy("key", "lo", "hi").agg(F.min("id").alias("kept_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    return full.join(kept, ["key", "lo", "hi"]).select("id", "kept_id", "copies")
+    texts = rows.select(F.col(id_col).alias("id"), F.col(text_a).alias("a"), F.col(text_b).alias("b")).filter("id is not null")
+    keyed = stage(_digests(texts).select("id", "plain", "nested"), "copies-keys")
+    suspects = _grouped(keyed)
+    unstage(keyed)
+    if (apart := _told_apart(suspects, texts)) is not None:
+        suspects = _grouped(stage(apart, "copies-apart"))
+    members = suspects.select("id", "key").distinct()
+    kept = members.groupBy("key").agg(F.min("id").alias("kept_id"), F.count(F.lit(1)).alias("copies"))
+    return members.join(kept, "key").select("id", "kept_id", "copies")
 
 
 def collapsed(rows: DataFrame, id_col: str, text_a: str, text_b: str) -> DataFrame:

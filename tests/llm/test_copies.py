@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from supportlens.llm import copies
 from supportlens.llm.copies import collapsed, copy_groups
 
 ROWS = [
@@ -21,3 +24,12 @@ def test_empty_and_long(spark):
     df = spark.createDataFrame([("1", "a" * 300_000, None), ("2", "A " * 300_000, "")], "rid string, a string, b string")
     assert [r["kept_id"] for r in copy_groups(df, "rid", "a", "b").collect()] == ["1", "1"]
     assert copy_groups(df.limit(0), "rid", "a", "b").count() == 0
+
+
+def test_the_full_comparison_tells_equal_digests_apart(spark, monkeypatch):
+    df = spark.createDataFrame([*ROWS, ("20", "Note: abc | Kind: x", "q"), ("21", "Note: acb | Kind: x", "q"), ("22", "Kind: x; Note: acb", "q")], "rid string, a string, b string")
+    want = {tuple(r) for r in copy_groups(df, "rid", "a", "b").collect()}
+    assert ("22", "21", 2) in want and not any(r[0] == "20" for r in want)
+    # a digest that anagrams share, as a stand-in for one that collides
+    monkeypatch.setattr(copies, "_root", lambda a, b: F.md5(F.array_join(F.array_sort(F.split(F.concat(a, b), "")), "")))
+    assert {tuple(r) for r in copy_groups(df, "rid", "a", "b").collect()} == want
