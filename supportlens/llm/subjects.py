@@ -30,7 +30,7 @@ from operator import or_
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supportlens.sources.tables import ship, stage, unstage
@@ -41,6 +41,7 @@ _SPLIT = re.compile(r"(?<=[.!?…。])[\"'”»)*_]*\s+|\s*;\s+|\n+|(?<=[!?])(?=
 _TAG = re.compile(r"^\W*\[\w+\]\s*")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _DIGITS = re.compile(r"\d+")
+_REMEMBERED = 200_000  # pieces of text a worker keeps, for speed alone
 
 
 def _h(x: str) -> int:
@@ -48,106 +49,143 @@ def _h(x: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _sentence(part: str) -> str | None:
+    """The words of a piece of text, joined by blanks, lower case and with digits masked; null where there are none."""
+    low = (_TAG.sub("", part) if "[" in part else part).lower()
+    words = _WORD.findall(_DIGITS.sub("9", low))
+    return " ".join(words) if any(len(w) > 1 and not w.isdigit() for w in words) else None
+
+
 def sentences(text: str) -> Iterator[list[str]]:
     """Word lists of the sentences, lower case, with digits masked and links left out."""
-    text = _CLEAN.sub("", _LINK.sub(" 9 ", text))
-    for part in _SPLIT.split(text):
-        if part:
-            words = [_DIGITS.sub("9", w) for w in _WORD.findall(_TAG.sub("", part).lower())]
-            if any(len(w) > 1 and not w.isdigit() for w in words):
-                yield words
-
+    for part in _SPLIT.split(_CLEAN.sub("", _LINK.sub(" 9 ", text))):
+        if part and (s := _sentence(part)):
+            yield s.split(" ")
 
-def terms(words: list[str]) -> list[int]:
-    """Hashes of the words of three letters or more and of the pairs of neighbouring words."""
-    plain = [w for w in words if len(w) > 2 and "9" not in w]
-    return list({_h(w) for w in plain} | {_h(f"{a} {b}") for a, b in zip(words, words[1:]) if "9" not in a + b})
 
+def _read(always: bool):
+    """(key, form, n, text): the sentences of each text with their counts; the text of a form comes with its first row only, or always."""
 
-def _read(n_keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, str] | None] = {}  # a piece of text -> form and words
+        told: set[int] = set()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 piece = batch.slice(k, 256)
-                at, forms, counts, lists = [], [], [], []
-                known: dict[int, list[int]] = {}
-                for i, text in enumerate(piece.column(n_keys).to_pylist()):
-                    c: Counter[int] = Counter()
-                    for words in sentences(text):
-                        f = _h(" ".join(words))
-                        c[f] += 1
-                        if f not in known:
-                            known[f] = terms(words)
-                    for f, n in c.items():
+                at, forms, counts, texts = [], [], [], []
+                for i, text in enumerate(piece.column(1).to_pylist()):
+                    c: Counter[tuple[int, str]] = Counter()
+                    for part in _SPLIT.split(_CLEAN.sub("", _LINK.sub(" 9 ", text))):
+                        if part not in known:
+                            if len(known) >= _REMEMBERED:
+                                known.clear()
+                            s = _sentence(part)
+                            known[part] = (_h(s), s) if s else None
+                        if got := known[part]:
+                            c[got] += 1
+                    for (f, s), n in c.items():
                         at.append(i)
                         forms.append(f)
                         counts.append(n)
-                        lists.append(known[f])
+                        texts.append(s if always or f not in told else None)
+                        told.add(f)
+                if len(told) >= _REMEMBERED:
+                    told.clear()
                 take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column(j).take(take) for j in range(n_keys)] + [pa.array(forms, pa.int64()), pa.array(counts, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=[*(f"k{j}" for j in range(n_keys)), "form", "n", "terms"])
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(take), pa.array(forms, pa.int64()), pa.array(counts, pa.int64()), pa.array(texts, pa.string())], names=["key", "form", "n", "text"])
 
     return run
 
 
-def _lexicon(counts: DataFrame, names: list[str], purity: float) -> DataFrame:
-    """term, share of each subject in all uses of the term; only the shares that reach ``purity`` pass anything on.
+def terms(text: Column) -> Column:
+    """Hashes of the words of three letters or more and of the pairs of neighbouring words, without masked digits."""
+    words = F.split(text, " ")
+    plain = F.transform(F.filter(words, lambda w: (F.length(w) > 2) & ~w.contains("9")), lambda w: F.xxhash64(w))
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.when(~a.contains("9") & ~b.contains("9"), F.xxhash64(a, b)))
+    return F.array_distinct(F.array_compact(F.concat(plain, pairs)))
+
 
-    Where a subject is so common that its share is near that anyway, a term must stand out from it by 30 % of the rest.
+def _edges(forms: DataFrame) -> DataFrame:
+    return forms.select("form", F.explode(terms(F.col("text"))).alias("term"))
+
+
+def _floors(counts: DataFrame, names: list[str], purity: float) -> list[float]:
+    """The share each subject must reach among the uses of a term or sentence.
+
+    Where a subject is so common that its share is near ``purity`` anyway, it must stand out by 30 % of the rest.
     """
     totals = counts.agg(*[F.sum(c) for c in names], F.sum("uses")).first()
     base = [(x or 0.0) / (totals[-1] or 1.0) for x in totals[:-1]]
-    shares = [F.col(c) / (F.col("uses") + 1) for c in names]
-    kept = counts.select("term", *[F.when(x >= max(purity, b + 0.3 * (1 - b)), x).otherwise(0.0).alias(c) for x, b, c in zip(shares, base, names)])
-    return kept.filter(sum((F.col(c) for c in names), F.lit(0.0)) > 0)
+    return [max(purity, b + 0.3 * (1 - b)) for b in base]
 
 
-def _lead(scores: DataFrame, key: str, names: list[str], least: float, share: float) -> DataFrame:
-    """key, label: the leading subject, where it has at least ``least`` and that share of all."""
-    rows = scores.withColumn("best", F.greatest(*[F.col(c) for c in names]))
-    label = F.coalesce(*[F.when(F.col(c) == F.col("best"), F.lit(k)) for k, c in enumerate(names)])
-    return rows.filter((F.col("best") >= least) & (F.col("best") >= share * sum((F.col(c) for c in names), F.lit(0.0)))).select(key, label.alias("label"))
+def _lexicon(counts: DataFrame, names: list[str], purity: float) -> DataFrame:
+    """term, label, share of a subject in all uses of the term: the verified edges; all others pass nothing on."""
+    floors = _floors(counts, names, purity)
+    shares = [F.struct(F.lit(k).alias("label"), (F.col(c) / (F.col("uses") + 1)).alias("share")) for k, c in enumerate(names)]
+    kept = F.filter(F.array(*[F.when(x["share"] >= q, x) for x, q in zip(shares, floors)]), lambda x: x.isNotNull())
+    return counts.select("term", F.explode(kept).alias("x")).select("term", "x.label", "x.share")
 
 
-def _stock(among: DataFrame, names: list[str], purity: float) -> DataFrame:
-    """form: sentences whose documents share no subject. among: form, documents of each subject with it.
+def _may_reach(names: list[str], floors: list[float]) -> Column:
+    """Whether a subject reaches its floor among the uses, or falls short of it by no more than chance in one case of 20.
 
-    A subject must reach the purity of a term among them. What falls short of it by chance in one case of 20 is let pass (1.65
-    standard errors), so few documents prove nothing, and the rule is the same at every size.
+    1.65 standard errors, so that few uses prove nothing; the rule is the same at every size.
     """
     whole = sum((F.col(c) for c in names), F.lit(0.0))
-    totals = among.agg(*[F.sum(c) for c in names]).first()
-    every = sum(x or 0.0 for x in totals) or 1.0
-    least = [max(purity, b + 0.3 * (1 - b)) for b in ((x or 0.0) / every for x in totals)]
-    reached = [F.col(c) / whole + 1.65 * (q * (1 - q)) ** 0.5 / F.sqrt(whole) >= q for c, q in zip(names, least)]
-    return among.filter(whole > 0).filter(~reduce(or_, reached)).select("form")
+    return (whole == 0) | reduce(or_, [F.col(c) / F.greatest(whole, F.lit(1.0)) + 1.65 * (q * (1 - q)) ** 0.5 / F.sqrt(F.greatest(whole, F.lit(1.0))) >= q for c, q in zip(names, floors)])
+
+
+def _scores(edges: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """form, label, score. One shuffle of narrow rows: forms are distinct, so none is hot."""
+    return edges.join(lexicon, "term").select("form", "label", "share").repartition("form").groupBy("form", "label").agg(F.sum("share").alias("score"))
+
+
+def _lead(scores: DataFrame, key: str, least: float, share: float) -> DataFrame:
+    """key, label: the leading subject, where it has at least ``least`` and that share of all."""
+    best = scores.groupBy(key).agg(F.max(F.struct("score", (-F.col("label")).alias("label"))).alias("best"), F.sum("score").alias("whole"))
+    return best.filter((F.col("best.score") >= least) & (F.col("best.score") >= share * F.col("whole"))).select(key, (-F.col("best.label")).alias("label"))
+
+
+def _per_label(rows: DataFrame, key: str, names: list[str], *more: Column) -> DataFrame:
+    return rows.groupBy(key).agg(*[F.count_if(F.col("label") == k).cast("double").alias(c) for k, c in enumerate(names)], *more)
 
 
-def _spread(edges: DataFrame, seeds: DataFrame, read: DataFrame, n: int, rounds: int, purity: float, clamp: float) -> DataFrame:
-    """form -> label (index of the subject), for the sentences that get one. seeds: term, subject, n."""
+def _spread(forms: DataFrame, seeds: DataFrame, read: DataFrame, n: int, rounds: int, purity: float, clamp: float) -> DataFrame:
+    """form -> label (index of the subject), for the sentences that get one. seeds: form, text, label, n."""
     names = [f"s{k}" for k in range(n)]
-    seeded = stage(seeds.groupBy("term").agg(*[F.sum(F.when(F.col("subject") == k, F.col("n")).otherwise(0)).cast("double").alias(c) for k, c in enumerate(names)], F.sum("n").cast("double").alias("uses")), "subject-seeds")
+    every = sum((F.col(c) for c in names), F.lit(0.0))
+    seeded = stage(seeds.select("label", "n", F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).cast("double").alias(c) for k, c in enumerate(names)], F.sum("n").cast("double").alias("uses")), "subject-seeds")
+    clamped = seeds.groupBy("form").agg(F.min("label").alias("seed"), F.max("label").alias("other")).filter("seed = other").select("form", "seed")
     # first over documents: the examples are few, so a turn of phrase may stand beside one subject by chance; over a whole
     # document this averages out, and a term met in documents of many subjects passes nothing on
-    scores = edges.join(_lexicon(seeded, names, 0.3), "term").groupBy("form").agg(*[F.sum(c).alias(c) for c in names])
-    per_document = read.join(scores, "form", "left").groupBy("doc_id").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names], F.xxhash64(F.array_sort(F.collect_set("form"))).alias("bag"))
-    distinct = per_document.groupBy("bag").agg(F.min_by(F.struct(*names), "doc_id").alias("of"), F.min("doc_id").alias("doc_id")).select("doc_id", "of.*")
-    documents = _lead(distinct, "doc_id", names, 1.0, 0.4)
-    among = stage(read.select("doc_id", "form").distinct().join(documents, "doc_id").groupBy("form").agg(*[F.count_if(F.col("label") == k).cast("double").alias(c) for k, c in enumerate(names)]), "subject-among")
-    plain = stage(edges.join(_stock(among, names, purity), "form", "left_anti"), "edges")
-    unstage(edges)
-    edges = plain
-    counts = stage(edges.join(among, "form").groupBy("term").agg(*[F.sum(c).alias(c) for c in names]).withColumn("uses", sum((F.col(c) for c in names), F.lit(0.0))), "subject-terms")
+    scores = _scores(_edges(forms), _lexicon(seeded, names, 0.3))
+    documents = _lead(read.join(scores, "form").groupBy("doc_id", "label").agg(F.sum("score").alias("score")), "doc_id", 1.0, 0.4)
+    bags = read.groupBy("doc_id").agg(F.struct(F.bit_xor("form"), F.count(F.lit(1)), F.min("form"), F.max("form")).alias("bag"))
+    documents = bags.join(documents, "doc_id").groupBy("bag").agg(F.min(F.struct("doc_id", "label")).alias("of")).select("of.*")
+    per = read.select("doc_id", "form").join(documents, "doc_id").groupBy("form", "label").agg(F.count_distinct("doc_id").alias("docs"))
+    among = stage(per.groupBy("form").agg(*[F.sum(F.when(F.col("label") == k, F.col("docs")).otherwise(0)).cast("double").alias(c) for k, c in enumerate(names)]), "subject-among")
+    stock = stage(among.filter(~_may_reach(names, _floors(among.withColumn("uses", every), names, purity))).select("form"), "subject-stock")
+    plain = forms.join(stock, "form", "left_anti")
+    met = plain.join(among, "form", "left").select(F.explode(terms(F.col("text"))).alias("term"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+    counts = stage(met.groupBy("term").agg(F.count(F.lit(1)).alias("forms"), *[F.sum(c).alias(c) for c in names]).withColumn("uses", every), "subject-terms")
+    unstage(among)
+    # only edges that can pass a label on are kept: the term links two sentences, or one and an example, and is not surely impure
+    passing = counts.join(seeded.select("term", F.lit(True).alias("seed")), "term", "left").filter((F.col("forms") > 1) | F.col("seed")).filter(_may_reach(names, _floors(counts, names, purity))).select("term")
+    edges = stage(_edges(plain).join(passing, "term"), "subject-edges")
     anchored = seeded.select("term", *[(F.col(c) * clamp).alias(c) for c in [*names, "uses"]])
     labels = None
     for r in range(rounds):
-        scores = edges.join(_lexicon(counts, names, purity), "term").groupBy("form").agg(*[F.sum(c).alias(c) for c in names])
-        new = stage(_lead(scores, "form", names, purity, 0.6), "subject-labels")
-        unstage(labels)
+        found = _lead(_scores(edges, _lexicon(counts, names, purity)), "form", purity, 0.6)
+        # sentences of the examples keep their label in every round
+        new = stage(found.join(clamped, "form", "full").select("form", F.coalesce("seed", "label").alias("label")), "subject-labels")
+        unstage(labels, counts)
         labels = new
         if r + 1 < rounds:
             # uses in unlabelled sentences count against a term, so that passing phrases do not take on a subject by and by
-            grown = edges.join(labels, "form", "left").groupBy("term").agg(*[F.count_if(F.col("label") == k).cast("double").alias(c) for k, c in enumerate(names)], F.count(F.lit(1)).cast("double").alias("uses"))
+            grown = _per_label(edges.join(labels, "form", "left"), "term", names, F.count(F.lit(1)).cast("double").alias("uses"))
             counts = stage(grown.unionByName(anchored).groupBy("term").agg(*[F.sum(c).alias(c) for c in [*names, "uses"]]), "subject-terms")
+    unstage(edges, seeded, stock)
     return labels
 
 
@@ -157,17 +195,14 @@ def labelled_sentences(documents: DataFrame, examples: DataFrame, areas: DataFra
     subjects = sorted(r["subject"] for r in areas.select("subject").filter("subject is not null").distinct().collect())  # the list of areas: a handful
     index = F.coalesce(*[F.when(F.col("subject") == s, F.lit(k)) for k, s in enumerate(subjects)]) if subjects else F.lit(None).cast("int")
     kind = dict(documents.dtypes)["doc_id"]
-    read = documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(_read(1), f"k0 {kind}, form long, n long, terms array<long>")
-    read = stage(read.withColumnRenamed("k0", "doc_id"), "sentences")
-    seeds = examples.select(index.cast("int").alias("subject"), "text").filter("subject is not null and text is not null").mapInArrow(_read(1), "k0 int, form long, n long, terms array<long>").select(F.explode("terms").alias("term"), F.col("k0").alias("subject"), "n")
+    read = documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(_read(False), f"key {kind}, form long, n long, text string")
+    read = stage(read.withColumnRenamed("key", "doc_id"), "sentences")
     if not subjects:
         return read.select("doc_id", F.lit(0).alias("label"), "n").limit(0), subjects
-    forms = stage(read.groupBy("form").agg(F.any_value("terms").alias("terms")), "forms")
-    edges = forms.select("form", F.explode("terms").alias("term"))
-    size = forms.count()
-    common = edges.groupBy("term").count().filter((F.col("count") > max(200, size // 50)) | (F.col("count") < 2)).select("term")
-    edges = stage(edges.join(common, "term", "left_anti"), "edges")
-    labels = _spread(edges, seeds, read, len(subjects), rounds, purity, clamp)
+    seeds = examples.select(index.cast("int").alias("subject"), "text").filter("subject is not null and text is not null").mapInArrow(_read(True), "key int, form long, n long, text string").withColumnRenamed("key", "label")
+    forms = stage(read.filter("text is not null").groupBy("form").agg(F.any_value("text").alias("text")), "forms")
+    labels = _spread(forms, seeds, read, len(subjects), rounds, purity, clamp)
+    unstage(forms)
     return read.select("doc_id", "form", "n").join(labels, "form").groupBy("doc_id", "label").agg(F.sum("n").alias("n")), subjects
 
 
