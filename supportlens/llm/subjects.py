@@ -37,7 +37,8 @@ from supportlens.sources.tables import ship, stage, unstage
 
 _LINK = re.compile(r"https?://\S+")
 _CLEAN = re.compile(r"\x1b\[[0-9;]*m|<[^<>]{1,80}>|[­​-‏ -‮⁠-⁤﻿︀-️]|[\x00-\x08\x0b-\x1f]")
-_SPLIT = re.compile(r"(?<=[.!?…。])[\"'”»)*_]*\s+|\s*;\s+|\n+|(?<=[!?])(?=[A-ZÀ-Þ¿¡])")
+#: Ends of sentences; the sign itself goes with the break, as only words are read. A leading class keeps the search fast.
+_SPLIT = re.compile(r"[.!?…。;\n](?:(?<=\n)\n*|(?<=;)\s+|(?<=[.!?…。])[\"'”»)*_]*\s+|(?<=[!?])(?=[A-ZÀ-Þ¿¡]))")
 _TAG = re.compile(r"^\W*\[\w+\]\s*")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _DIGITS = re.compile(r"\d+")
@@ -58,7 +59,7 @@ def _sentence(part: str) -> str | None:
 
 def sentences(text: str) -> Iterator[list[str]]:
     """Word lists of the sentences, lower case, with digits masked and links left out."""
-    for part in _SPLIT.split(_CLEAN.sub("", _LINK.sub(" 9 ", text))):
+    for part in _SPLIT.split(_CLEAN.sub("", _LINK.sub(" 9 ", text) if "http" in text else text)):
         if part and (s := _sentence(part)):
             yield s.split(" ")
 
@@ -75,7 +76,7 @@ def _read(always: bool):
                 at, forms, counts, texts = [], [], [], []
                 for i, text in enumerate(piece.column(1).to_pylist()):
                     c: Counter[tuple[int, str]] = Counter()
-                    for part in _SPLIT.split(_CLEAN.sub("", _LINK.sub(" 9 ", text))):
+                    for part in _SPLIT.split(_CLEAN.sub("", _LINK.sub(" 9 ", text) if "http" in text else text)):
                         if part not in known:
                             if len(known) >= _REMEMBERED:
                                 known.clear()
@@ -106,7 +107,12 @@ def terms(text: Column) -> Column:
 
 
 def _edges(forms: DataFrame) -> DataFrame:
-    return forms.select("form", F.explode(terms(F.col("text"))).alias("term"))
+    return forms.select("form", F.explode("terms").alias("term"))
+
+
+def _small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast if a count finds it within ``rows`` narrow rows (some 20 MB); beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def _floors(counts: DataFrame, names: list[str], purity: float) -> list[float]:
@@ -137,8 +143,8 @@ def _may_reach(names: list[str], floors: list[float]) -> Column:
 
 
 def _scores(edges: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """form, label, score. One shuffle of narrow rows: forms are distinct, so none is hot."""
-    return edges.join(lexicon, "term").select("form", "label", "share").repartition("form").groupBy("form", "label").agg(F.sum("share").alias("score"))
+    """form, label, score. The edges of a form lie together, so they are summed before anything is shuffled."""
+    return edges.join(_small(lexicon), "term").groupBy("form", "label").agg(F.sum("share").alias("score"))
 
 
 def _lead(scores: DataFrame, key: str, least: float, share: float) -> DataFrame:
@@ -163,16 +169,17 @@ def _spread(forms: DataFrame, seeds: DataFrame, read: DataFrame, n: int, rounds:
     documents = _lead(read.join(scores, "form").groupBy("doc_id", "label").agg(F.sum("score").alias("score")), "doc_id", 1.0, 0.4)
     bags = read.groupBy("doc_id").agg(F.struct(F.bit_xor("form"), F.count(F.lit(1)), F.min("form"), F.max("form")).alias("bag"))
     documents = bags.join(documents, "doc_id").groupBy("bag").agg(F.min(F.struct("doc_id", "label")).alias("of")).select("of.*")
-    per = read.select("doc_id", "form").join(documents, "doc_id").groupBy("form", "label").agg(F.count_distinct("doc_id").alias("docs"))
+    per = read.select("doc_id", "form").join(documents, "doc_id").groupBy("form", "label").agg(F.count(F.lit(1)).alias("docs"))
     among = stage(per.groupBy("form").agg(*[F.sum(F.when(F.col("label") == k, F.col("docs")).otherwise(0)).cast("double").alias(c) for k, c in enumerate(names)]), "subject-among")
     stock = stage(among.filter(~_may_reach(names, _floors(among.withColumn("uses", every), names, purity))).select("form"), "subject-stock")
     plain = forms.join(stock, "form", "left_anti")
-    met = plain.join(among, "form", "left").select(F.explode(terms(F.col("text"))).alias("term"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+    met = plain.join(among, "form", "left").select(F.explode("terms").alias("term"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
     counts = stage(met.groupBy("term").agg(F.count(F.lit(1)).alias("forms"), *[F.sum(c).alias(c) for c in names]).withColumn("uses", every), "subject-terms")
     unstage(among)
     # only edges that can pass a label on are kept: the term links two sentences, or one and an example, and is not surely impure
     passing = counts.join(seeded.select("term", F.lit(True).alias("seed")), "term", "left").filter((F.col("forms") > 1) | F.col("seed")).filter(_may_reach(names, _floors(counts, names, purity))).select("term")
-    edges = stage(_edges(plain).join(passing, "term"), "subject-edges")
+    linked = stage(_edges(plain).join(_small(passing), "term").groupBy("form").agg(F.collect_list("term").alias("terms")), "subject-edges")  # as long as a sentence
+    edges = _edges(linked)
     anchored = seeded.select("term", *[(F.col(c) * clamp).alias(c) for c in [*names, "uses"]])
     labels = None
     for r in range(rounds):
@@ -183,9 +190,9 @@ def _spread(forms: DataFrame, seeds: DataFrame, read: DataFrame, n: int, rounds:
         labels = new
         if r + 1 < rounds:
             # uses in unlabelled sentences count against a term, so that passing phrases do not take on a subject by and by
-            grown = _per_label(edges.join(labels, "form", "left"), "term", names, F.count(F.lit(1)).cast("double").alias("uses"))
+            grown = _per_label(linked.join(labels, "form", "left").select("label", F.explode("terms").alias("term")), "term", names, F.count(F.lit(1)).cast("double").alias("uses"))
             counts = stage(grown.unionByName(anchored).groupBy("term").agg(*[F.sum(c).alias(c) for c in [*names, "uses"]]), "subject-terms")
-    unstage(edges, seeded, stock)
+    unstage(linked, seeded, stock)
     return labels
 
 
@@ -200,7 +207,7 @@ def labelled_sentences(documents: DataFrame, examples: DataFrame, areas: DataFra
     if not subjects:
         return read.select("doc_id", F.lit(0).alias("label"), "n").limit(0), subjects
     seeds = examples.select(index.cast("int").alias("subject"), "text").filter("subject is not null and text is not null").mapInArrow(_read(True), "key int, form long, n long, text string").withColumnRenamed("key", "label")
-    forms = stage(read.filter("text is not null").groupBy("form").agg(F.any_value("text").alias("text")), "forms")
+    forms = stage(read.filter("text is not null").groupBy("form").agg(F.any_value("text").alias("text")).select("form", terms(F.col("text")).alias("terms")), "forms")
     labels = _spread(forms, seeds, read, len(subjects), rounds, purity, clamp)
     unstage(forms)
     return read.select("doc_id", "form", "n").join(labels, "form").groupBy("doc_id", "label").agg(F.sum("n").alias("n")), subjects
