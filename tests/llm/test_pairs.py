@@ -51,13 +51,13 @@ def test_field_learns_transitions():
         for _ in range(8):
             t = t if rng.random() < 0.95 else 1 - t
             tags.append(t)
-            feats.append(np.array([t + 1 if rng.random() < 0.75 else 2 - t]))
+            feats.append([t if rng.random() < 0.75 else 1 - t])
         return feats, tags
 
-    field = pairs.Field().fit([seq() for _ in range(300)], epochs=3)
+    field = pairs.Field({"a": 0, "b": 1}).fit([seq() for _ in range(300)], epochs=3)
     test = [seq() for _ in range(100)]
     chain = np.mean([np.mean(np.array(field.decode(f)) == t) for f, t in test])
-    alone = np.mean([np.mean(np.array([int(x[0]) - 1 for x in f]) == t) for f, t in test])
+    alone = np.mean([np.mean(np.array([x[0] for x in f]) == t) for f, t in test])
     assert chain > alone + 0.08
 
 
@@ -65,8 +65,8 @@ def test_viterbi_is_exact():
     import itertools
 
     rng = np.random.default_rng(2)
-    field = pairs.Field(rng.normal(size=(pairs._HASH_SPACE, 6)).astype(np.float32), rng.normal(size=(6, 6)))
-    seq = [np.array([i]) for i in range(4)]
+    field = pairs.Field({}, rng.normal(size=(4, 6)).astype(np.float32), rng.normal(size=(6, 6)))
+    seq = [[i] for i in range(4)]
     p = field.potentials(seq)
     best = max(itertools.product(range(6), repeat=4), key=lambda y: sum(p[i, t] for i, t in enumerate(y)) + sum(field.step[a, b] for a, b in zip(y, y[1:])))
     assert field.decode(seq) == list(best)
@@ -85,3 +85,33 @@ def test_copies_of_a_truncated_response_do_not_vouch_for_each_other(spark):
     got = dict(map(tuple, pairs.broken_pairs(df, "rid", "q", "a").collect()))
     assert {got.get(f"t{i}") for i in range(300)} == {"truncated"}
     assert not {k for k in got if k.startswith("ok")}
+
+
+def test_the_field_beats_its_seeds_on_held_out_refusals():
+    """Refusals in wordings that no seed names, and courtesies that no seed names, told by their words and company."""
+    rng = random.Random(4)
+    openings = ["Thanks for writing.", "We know how much this matters to you.", "Your note has arrived at our desk.", "Hello there."]
+    known = ["We cannot answer this request.", "We are unable to help with this question.", "Our desk may not respond to this request.", "We must decline to answer this question."]
+    unknown = ["Our desk may not take this question.", "Nobody here may take this request.", "We must not take up this question."]
+    closings = ["This decision is final.", "There is nothing more to say.", "Best wishes."]
+    f = lambda xs: rng.choice(xs).format(n=rng.randrange(2, 90))
+    rows = [(f(ASK), f"{f(openings)} {f(STEPS)} {f(STEPS)}", []) for _ in range(900)]
+    rows += [(f(ASK), f"{f(openings)} {f(known)} {f(closings)}", []) for _ in range(60)]
+    rows += [(f(ASK), f"{f(openings)} {f(unknown)} {f(closings)}", []) for _ in range(25)]
+    reader, field = pairs.fit(rows)
+    want, seeds, tagged = [], [], []
+    for kind, second in [("refusal", u) for u in unknown] + [(None, s.format(n=7)) for s in STEPS]:
+        for a in openings:
+            measured = reader.measure(ASK[0], f"{a} {second} {closings[0] if kind else ''}", False)
+            want.append(kind)
+            seeds.append(pairs.defect(measured, pairs.seed_tags(measured)))
+            tagged.append(pairs.defect(measured, field.tags(measured)))
+    right = lambda got: sum(a == b for a, b in zip(got, want))
+    assert seeds.count("refusal") == 0  # no seed names these
+    assert right(tagged) >= 0.9 * len(want) > right(seeds)
+
+
+def test_marked_ends_in_broken_words():
+    seen = [(1, 30, 2, 1), (2, 0, 0, 1)]  # the piece is a word elsewhere, the pair is not
+    assert pairs.breaks_off(["your", "pas"], seen, marked=True) and not pairs.breaks_off(["your", "pas"], seen)
+    assert pairs.open_end("Our team in Kessb [...]") and pairs._marked("Change your pas...") and pairs._marked("to the [...] 🙂") and not pairs._marked("It is done (see below).")
