@@ -99,7 +99,10 @@ def _tokens(text: str) -> list[str]:
 
 def own_text(text: str | None) -> str:
     """What a response says itself: without handles and signature initials."""
-    return _SIGNATURE.sub(" ", _HANDLE.sub(" ", text or "")).strip()
+    text = text or ""
+    if "@" in text:
+        text = _HANDLE.sub(" ", text)
+    return (_SIGNATURE.sub(" ", text) if "^" in text else text).strip()
 
 
 def is_empty(text: str | None) -> bool:
@@ -229,15 +232,17 @@ class WordModel:
         self.logs = {w: [math.log((counts[c][w] + 0.1) / total[c]) for c in self.classes] for w in vocabulary if sum(counts[c][w] for c in self.classes) > 1}
 
     def scores(self, words: list[str]) -> list[float]:
-        out = [0.0] * len(self.classes)
-        for w in words:
-            for k, x in enumerate(self.logs.get(w, ())):
-                out[k] += x
-        return out
+        known = [x for x in map(self.logs.get, words) if x]
+        return [sum(c) for c in zip(*known)] if known else [0.0] * len(self.classes)
 
 
 def _plain_words(text: str) -> list[str]:
-    return _WORD.findall(_DIGITS.sub("9", _LINK.sub(" ", _HANDLE.sub(" @ ", text)).lower()))
+    low = text.lower()
+    if "@" in low:
+        low = _HANDLE.sub(" @ ", low)
+    if "http" in low or "www." in low:
+        low = _LINK.sub(" ", low)
+    return _WORD.findall(_DIGITS.sub("9", low))
 
 
 def fit_words(rows: list[tuple[str | None, str | None]]) -> tuple[WordModel, WordModel]:
@@ -367,15 +372,17 @@ def vote(measured: list[dict], company: Company) -> list[int]:
     return out
 
 
+def measured_features(m: dict) -> list[str]:
+    return ["bias", f"echo{int(m['echo'] * 5)}", f"foreign{m['foreign']}", f"broken{m['broken']}", f"link{m['link']}", f"long{min(len(m['words']), 12) // 3}", f"place{m['first']}{m['last']}", f"role{m['role']}"]
+
+
+def word_features(ws: list[str]) -> list[str]:
+    return [f"first {ws[0]}", *set(ws), *{f"{a} {b}" for a, b in zip(ws, ws[1:])}] if ws else []
+
+
 def features(m: dict) -> list[str]:
-    """Names of the features of a clause: words, pairs of words, and what was measured."""
-    ws = m["words"]
-    names = ["bias", f"echo{int(m['echo'] * 5)}", f"foreign{m['foreign']}", f"broken{m['broken']}", f"link{m['link']}", f"long{min(len(ws), 12) // 3}", f"place{m['first']}{m['last']}", f"role{m['role']}"]
-    if m["echo"] < 0.6:  # the words of an echo are the prompt's
-        names += ws and [f"first {ws[0]}"]
-        names += set(ws)
-        names += {f"{a} {b}" for a, b in zip(ws, ws[1:])}
-    return names
+    """Names of the features of a clause: what was measured, words, pairs of words. The words of an echo are the prompt's and say nothing."""
+    return measured_features(m) + (word_features(m["words"]) if m["echo"] < 0.6 else [])
 
 
 class Field:
@@ -386,6 +393,10 @@ class Field:
         self.index = index or {}
         self.unary = np.zeros((len(self.index), n), np.float32) if unary is None else unary
         self.step = np.zeros((n, n)) if step is None else step
+        self._known: dict[str, np.ndarray] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "_known": {}}
 
     def rows(self, names: list[str]) -> list[int]:
         get = self.index.get
@@ -437,6 +448,15 @@ class Field:
     def decode(self, seq: list[list[int]]) -> list[int]:
         return self._best(self.potentials(seq))
 
+    def _sum(self, key: str, names, m: dict) -> np.ndarray:
+        """The weights of a clause's features, remembered by what they are told from."""
+        got = self._known.get(key)
+        if got is None:
+            if len(self._known) >= _HELD:
+                self._known.clear()
+            got = self._known[key] = self.unary[self.rows(names(m))].sum(0)
+        return got
+
     def _best(self, p: np.ndarray) -> list[int]:
         best, back = p[0], []
         for i in range(1, len(p)):
@@ -450,8 +470,11 @@ class Field:
 
     def tags(self, measured: list[dict]) -> list[int]:
         """A clause of the prompt's language is never foreign, one that shares little with it no echo, and only the last can be unfinished."""
-        p = self.potentials([self.rows(features(m)) for m in measured])
+        p = np.empty((len(measured), len(TAGS)))
         for i, m in enumerate(measured):
+            p[i] = self._sum("\0" + " ".join(measured_features(m)), measured_features, m)
+            if m["echo"] < 0.6:
+                p[i] += self._sum(m["part"], lambda m: word_features(m["words"]), m)
             if not m["foreign"]:
                 p[i, FOREIGN] -= 1e4
             if m["echo"] < 0.2:
