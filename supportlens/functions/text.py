@@ -9,10 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = "[ \\t\\n\\x0b\\f\\r\\u00a0\\u2003\\u3000]"
-#: Words left out of token lists.
-STOPWORDS = tuple("a an and are as at be but by for from has have i in is it its me my not of on or our so that the their they this to was we were with you your".split())
-#: Words that point back to earlier turns.
-ANAPHORA = ("it", "this", "that", "these", "those", "they", "them", "same", "again", "still", "also")
+#: Words left out of token lists. Names of brands are a parameter.
+STOPWORDS = tuple("a an and are as at be been but by can do for from get got have help i if in is it just me my of on or please so that the this to was we with you your".split())
+#: Words and phrases that point back to earlier turns.
+ANAPHORA = ("it", "this", "that", "still", "again", "already", "same", "they", "them")
+ANAPHORIC_PHRASES = ("doing this", "still restarting", "wont let me", "won't let me")
 
 
 def strip(c: Column) -> Column:
@@ -28,9 +29,9 @@ def normalize(c: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(F.lower(c), "https?://[^ \\t\\n\\r]+", " "), "@[a-z0-9_]+", " "))
 
 
-def tokens(c: Column, words: str = "[a-z0-9]+(?:'[a-z0-9]+)?") -> Column:
-    """Words of the normalised text without stop words."""
-    return F.filter(F.regexp_extract_all(normalize(c), F.lit(f"({words})"), F.lit(1)), lambda t: ~t.isin(*STOPWORDS))
+def tokens(c: Column, words: str = "[a-z0-9]+(?:'[a-z0-9]+)?", brands: tuple[str, ...] = ()) -> Column:
+    """Words of the normalised text without stop words and names of brands."""
+    return F.filter(F.regexp_extract_all(normalize(c), F.lit(f"({words})"), F.lit(1)), lambda t: ~t.isin(*STOPWORDS, *brands))
 
 
 def urls(c: Column) -> Column:
@@ -60,7 +61,12 @@ def clean(c: Column) -> Column:
 
 
 def anaphoric(c: Column) -> Column:
-    return F.arrays_overlap(F.split(normalize(c), " "), F.array(*[F.lit(w) for w in ANAPHORA]))
+    low = F.lower(c)
+    words = F.regexp_extract_all(low, F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1))
+    told = F.arrays_overlap(words, F.array(*[F.lit(w) for w in ANAPHORA]))
+    for phrase in ANAPHORIC_PHRASES:
+        told = told | low.contains(phrase)
+    return told
 
 
 def html_escape(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from supportlens.functions.text import ANAPHORA, ANAPHORIC_PHRASES
 from supportlens.functions.ids import bare_id, flag, handle_key, instant, latest
 from supportlens.sources.tables import table
 
@@ -43,3 +44,9 @@ def sql_normalize(e: str) -> str:
 
 def sql_words(e: str) -> str:
     return f"len(list_filter(regexp_split_to_array({e}, '{B}+'), lambda x: x <> ''))"
+
+
+def sql_anaphoric(e: str) -> str:
+    words = ", ".join(f"'{w}'" for w in ANAPHORA)
+    phrases = "".join(" OR contains(lower({}), '{}')".format(e, p.replace("'", "''")) for p in ANAPHORIC_PHRASES)
+    return f"(list_has_any(regexp_extract_all(lower({e}), '([\\p{{L}}\\p{{N}}_]+)', 1), [{words}]){phrases})"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from supportlens.functions import text as T
 from supportlens.operators import review, rules, threads
-from supportlens.plans.base import MSG, messages, sql_normalize, sql_strip
+from supportlens.plans.base import MSG, messages, sql_anaphoric, sql_normalize, sql_strip
 from supportlens.plans.text_queries import _BUILT
 from supportlens.sources.tables import table
 
@@ -63,7 +63,7 @@ def reply_templates(spark, sf):
     return table(spark, sf, "agent_evaluation").filter("raw_reply_text is not null").groupBy(t.alias("template")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "template").limit(20)
 
 
-_ANA = f"list_has_any(string_split({sql_normalize('text')}, ' '), [{', '.join(chr(39) + w + chr(39) for w in T.ANAPHORA)}])"
+_ANA = sql_anaphoric("text")
 
 
 @query(_BUILT + f" SELECT b.inbound, b.position > 1 AS has_prior, count(*) AS turns, count(*) FILTER ({_ANA}) AS anaphoric FROM built b JOIN msg USING (tweet_id) WHERE text IS NOT NULL GROUP BY 1, 2", msg=True, recursive=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from supportlens.functions import text as T
 from supportlens.operators import splits, threads
-from supportlens.plans.base import MSG, B, messages, sql_normalize, sql_strip, sql_words
+from supportlens.plans.base import MSG, B, messages, sql_anaphoric, sql_normalize, sql_strip, sql_words
 from supportlens.sources.tables import table
 
 QUERIES: dict = {}
@@ -55,7 +55,7 @@ def strip_handles_and_previews(spark, sf):
     return table(spark, sf, "historical_resolution").filter("brand_text is not null").select("resolution_id", T.strip_handle(F.col("brand_text")).alias("reply"), T.preview(F.col("customer_text"), 140).alias("preview"))
 
 
-@query(f"SELECT resolution_id, {sql_strip(chr(40) + 'lower(regexp_replace(customer_text, ' + chr(39) + r'[^\p{L}\p{N}_ \t\n\r]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')))')} AS cleaned, list_has_any(string_split({sql_normalize('customer_text')}, ' '), [{', '.join(chr(39) + w + chr(39) for w in T.ANAPHORA)}]) AS anaphoric FROM historical_resolution WHERE customer_text IS NOT NULL")
+@query(f"SELECT resolution_id, {sql_strip(chr(40) + 'lower(regexp_replace(customer_text, ' + chr(39) + r'[^\p{L}\p{N}_ \t\n\r]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')))')} AS cleaned, {sql_anaphoric('customer_text')} AS anaphoric FROM historical_resolution WHERE customer_text IS NOT NULL")
 def clean_and_anaphora(spark, sf):
     c = F.col("customer_text")
     return table(spark, sf, "historical_resolution").filter("customer_text is not null").select("resolution_id", T.clean(c).alias("cleaned"), T.anaphoric(c).alias("anaphoric"))
@@ -66,11 +66,6 @@ def index_and_escape(spark, sf):
     return table(spark, sf, "historical_resolution").select("resolution_id", T.html_escape(F.col("brand_text")).alias("escaped"), F.concat_ws(" ", "customer_text", "brand_text").alias("both_sides"), F.concat_ws(" ", "customer_text", F.replace("intent", F.lit("_"), F.lit(" "))).alias("augmented"))
 
 
-@query(f"SELECT example_id, {sql_strip('list_reduce(list_prepend(raw_reply_text, u), lambda t, x: regexp_replace(replace(t, x, ' + chr(39) * 2 + '), ' + chr(39) + f'^{B}+|{B}+$' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + '))')} AS reply, len(u)::BIGINT AS removed FROM (SELECT *, {_URLS.format(c='raw_reply_text')} AS u FROM agent_evaluation WHERE raw_reply_text IS NOT NULL)")
-def ungrounded_url_removal(spark, sf):
-    u = T.urls(F.col("raw_reply_text"))
-    return table(spark, sf, "agent_evaluation").filter("raw_reply_text is not null").select("example_id", T.strip(T.without(F.col("raw_reply_text"), u)).alias("reply"), F.size(u).cast("long").alias("removed"))
-
 
 # ---- profiles
 _TWCS = ["tweet_id", "author_id", "inbound", "created_at", "text", "response_tweet_id", "in_response_to_tweet_id", "loaded_at"]
