@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from supportlens.functions.text import ANAPHORA, ANAPHORIC_PHRASES
 from supportlens.functions.ids import bare_id, flag, handle_key, instant, latest
-from supportlens.sources.tables import table
+from supportlens.operators.threads import links
+from supportlens.sources.tables import stage, table
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text", bare_id(F.col("in_response_to_tweet_id")).alias("parent_id"))
 
 
+def threaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The message view, staged as threads read it several times, and the links that both link fields name."""
+    rows = stage(messages(spark, sf_dir), "message-view")
+    raw = latest(table(spark, sf_dir, "twcs"), "in_response_to_tweet_id", "response_tweet_id")
+    return rows, links(raw, "tweet_id", "in_response_to_tweet_id", "response_tweet_id")
+
+
 #: The same view in SQL; queries append their own parts.
 MSG = r"""raw AS (SELECT tweet_id, max(struct_pack(line_no := line_no, author_id := author_id, inbound := inbound, created_at := created_at, txt := text, up := in_response_to_tweet_id)) AS r FROM twcs WHERE tweet_id IS NOT NULL GROUP BY 1),
 flat AS (SELECT tweet_id, lower(regexp_replace(r.author_id, '^[\s@]+|\s+$', '', 'g')) AS author, lower(regexp_replace(r.inbound, '\s', '', 'g')) AS i, trim(r.created_at) AS c, r.txt AS text, regexp_replace(r.up, '[\s"''\[\]]', '', 'g') AS s FROM raw),

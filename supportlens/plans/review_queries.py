@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from supportlens.functions import text as T
-from supportlens.operators import review, rules, threads
+from supportlens.operators import review, rules
 from supportlens.plans.base import MSG, messages, sql_anaphoric, sql_normalize, sql_strip
-from supportlens.plans.text_queries import _BUILT
+from supportlens.plans.text_queries import _BUILT, _conversations
 from supportlens.sources.tables import table
 
 QUERIES: dict = {}
@@ -68,8 +68,8 @@ _ANA = sql_anaphoric("text")
 
 @query(_BUILT + f" SELECT b.inbound, b.position > 1 AS has_prior, count(*) AS turns, count(*) FILTER ({_ANA}) AS anaphoric FROM built b JOIN msg USING (tweet_id) WHERE text IS NOT NULL GROUP BY 1, 2", msg=True, recursive=True)
 def context_audit(spark, sf):
-    m = messages(spark, sf)
-    rows = threads.conversations(m).join(m.select("tweet_id", "text"), "tweet_id").filter("text is not null")
+    m, built = _conversations(spark, sf)
+    rows = built.join(m.select("tweet_id", "text"), "tweet_id").filter("text is not null")
     return rows.groupBy("inbound", (F.col("position") > 1).alias("has_prior")).agg(F.count(F.lit(1)).alias("turns"), F.count_if(T.anaphoric(F.col("text"))).alias("anaphoric"))
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from supportlens.functions import text as T
 from supportlens.operators import splits, threads
-from supportlens.plans.base import MSG, B, messages, sql_anaphoric, sql_normalize, sql_strip, sql_words
-from supportlens.sources.tables import table
+from supportlens.plans.base import MSG, B, messages, sql_anaphoric, sql_normalize, sql_strip, sql_words, threaded
+from supportlens.sources.tables import stage, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -139,25 +139,40 @@ def eligible_inbound(spark, sf):
     return m.join(used, "tweet_id", "left_semi").join(gold, "tweet_id", "left_anti").select("tweet_id", "author", "text")
 
 
-_EDGES = """,
-edges AS (SELECT c.parent_id, c.tweet_id AS child_id, CASE WHEN c.inbound THEN c.author ELSE p.author END AS customer, CASE WHEN c.inbound THEN p.author ELSE c.author END AS brand
-  FROM msg c JOIN msg p ON c.parent_id = p.tweet_id WHERE c.inbound <> p.inbound AND epoch_us(c.ts) - epoch_us(p.ts) BETWEEN 0 AND 7 * 86400000000::BIGINT)"""
+_IDS = r"""regexp_extract_all(regexp_replace(regexp_replace(regexp_replace({c}, '(["''])([0-9]{{1,3}}),([0-9]{{3}}),([0-9]{{3}})["'']', '\1\2\3\4\1', 'g'), '(["''])([0-9]{{1,3}}),([0-9]{{3}})["'']', '\1\2\3\1', 'g'), '\.0+', '', 'g'), '[0-9]+')"""
+_EDGES = f""",
+lraw AS (SELECT tweet_id, max(struct_pack(line_no := line_no, up := in_response_to_tweet_id, down := response_tweet_id)) AS r FROM twcs WHERE tweet_id IS NOT NULL GROUP BY 1),
+named AS (SELECT unnest({_IDS.format(c='r.up')}) AS parent_id, tweet_id AS child_id FROM lraw UNION SELECT tweet_id, unnest({_IDS.format(c='r.down')}) FROM lraw),
+edges AS (SELECT n.parent_id, n.child_id, CASE WHEN c.inbound THEN c.author ELSE p.author END AS customer, CASE WHEN c.inbound THEN p.author ELSE c.author END AS brand
+  FROM named n JOIN msg c ON n.child_id = c.tweet_id JOIN msg p ON n.parent_id = p.tweet_id WHERE c.inbound <> p.inbound AND c.author IS NOT NULL AND p.author IS NOT NULL AND epoch_us(c.ts) - epoch_us(p.ts) BETWEEN 0 AND 7 * 86400000000::BIGINT)"""
 
 
 @query(_EDGES + " SELECT * FROM edges", msg=True)
 def reply_edges(spark, sf):
-    return threads.reply_edges(messages(spark, sf))
+    m, named = threaded(spark, sf)
+    return threads.reply_edges(m, named=named)
 
 
 _COMPONENTS = _EDGES + """,
-up AS (SELECT child_id AS id, parent_id AS parent FROM edges), nodes AS (SELECT id FROM up UNION SELECT parent FROM up),
-walk AS (SELECT n.id, n.id AS component FROM nodes n WHERE n.id NOT IN (SELECT id FROM up) UNION ALL SELECT u.id, w.component FROM walk w JOIN up u ON u.parent = w.id)"""
+both_ways AS (SELECT brand, customer, parent_id AS a, child_id AS b FROM edges UNION SELECT brand, customer, child_id, parent_id FROM edges),
+reach AS (SELECT brand, customer, a AS id, a AS seen FROM both_ways UNION SELECT r.brand, r.customer, r.id, w.b FROM reach r JOIN both_ways w ON w.brand = r.brand AND w.customer = r.customer AND w.a = r.seen),
+walk AS (SELECT brand, customer, id, min(seen) AS component FROM reach GROUP BY 1, 2, 3)"""
 
 
-@query(_COMPONENTS + " SELECT component, count(*) AS messages FROM walk GROUP BY 1", msg=True, recursive=True)
+def _components(spark, sf):
+    m, named = threaded(spark, sf)
+    return threads.edge_components(stage(threads.reply_edges(m, named=named), "edges"))
+
+
+@query(_COMPONENTS + " SELECT brand, customer, component, count(*) AS messages FROM walk GROUP BY 1, 2, 3", msg=True, recursive=True)
 def edge_component_sizes(spark, sf):
-    """Edges go forward in time, so components are trees, named by their first message; equal times may close no cycle here."""
-    return threads.edge_components(threads.reply_edges(messages(spark, sf))).groupBy("component").agg(F.count(F.lit(1)).alias("messages"))
+    """Components of a customer with a brand, named by their smallest id."""
+    return _components(spark, sf).groupBy("brand", "customer", "component").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query(_COMPONENTS + " SELECT brand, count(DISTINCT id) AS nodes, count(DISTINCT customer) AS customers, count(DISTINCT customer || chr(31) || component) AS components FROM walk GROUP BY 1", msg=True, recursive=True)
+def brand_components(spark, sf):
+    return _components(spark, sf).groupBy("brand").agg(F.count_distinct("id").alias("nodes"), F.count_distinct("customer").alias("customers"), F.count_distinct(F.concat_ws("\x1f", "customer", "component")).alias("components"))
 
 
 _SEGMENTS = """ SELECT author, tweet_id, 1 + sum(cut) OVER w AS segment FROM (SELECT author, tweet_id, ts, CASE WHEN row_number() OVER w = 1 THEN 0 WHEN lag(ts) OVER w IS NULL OR ts IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 86400000000 THEN 1 ELSE 0 END AS cut
@@ -170,40 +185,52 @@ def gap_segments(spark, sf):
 
 
 _BUILT = _COMPONENTS + """,
-seg AS (SELECT component, tweet_id, inbound, ts, 1 + sum(cut) OVER w AS segment FROM (SELECT component, tweet_id, inbound, ts, CASE WHEN row_number() OVER w = 1 THEN 0 WHEN lag(ts) OVER w IS NULL OR ts IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 7 * 86400000000::BIGINT THEN 1 ELSE 0 END AS cut
-  FROM walk JOIN msg ON walk.id = msg.tweet_id WINDOW w AS (PARTITION BY component ORDER BY ts NULLS LAST, tweet_id)) WINDOW w AS (PARTITION BY component ORDER BY ts NULLS LAST, tweet_id)),
-good AS (SELECT component, segment, min(struct_pack(late := ts IS NULL, ts := ts, tweet_id := tweet_id)) AS first FROM seg GROUP BY 1, 2 HAVING bool_or(inbound) AND bool_or(NOT inbound)),
-conv AS (SELECT component, segment, format('conv_{:06d}', row_number() OVER (ORDER BY first)) AS conversation_id FROM good),
-built AS (SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY ts NULLS LAST, tweet_id) AS position, tweet_id, inbound, ts FROM seg JOIN conv USING (component, segment))"""
+seg AS (SELECT brand, customer, component, tweet_id, inbound, ts, 1 + sum(cut) OVER w AS segment FROM (SELECT brand, customer, component, tweet_id, inbound, ts, CASE WHEN row_number() OVER w = 1 THEN 0 WHEN lag(ts) OVER w IS NULL OR ts IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 7 * 86400000000::BIGINT THEN 1 ELSE 0 END AS cut
+  FROM walk JOIN msg ON walk.id = msg.tweet_id WINDOW w AS (PARTITION BY brand, customer, component ORDER BY ts NULLS LAST, tweet_id)) WINDOW w AS (PARTITION BY brand, customer, component ORDER BY ts NULLS LAST, tweet_id)),
+good AS (SELECT brand, customer, component, segment, min(struct_pack(late := ts IS NULL, ts := ts, tweet_id := tweet_id)) AS first FROM seg GROUP BY 1, 2, 3, 4 HAVING bool_or(inbound) AND bool_or(NOT inbound)),
+conv AS (SELECT brand, customer, component, segment, format('conv_{:06d}', row_number() OVER (ORDER BY first, brand, customer)) AS conversation_id FROM good),
+built AS (SELECT conversation_id, customer, row_number() OVER (PARTITION BY conversation_id ORDER BY ts NULLS LAST, tweet_id) AS position, tweet_id, inbound, ts FROM seg JOIN conv USING (brand, customer, component, segment))"""
+
+
+def _conversations(spark, sf):
+    """The message view and its conversations, by the links of both fields."""
+    m, named = threaded(spark, sf)
+    return m, threads.conversations(m, named=named)
 
 
 @query(_BUILT + " SELECT conversation_id, position, tweet_id, inbound FROM built", msg=True, recursive=True)
 def conversations_built(spark, sf):
-    return threads.conversations(messages(spark, sf)).select("conversation_id", "position", "tweet_id", "inbound")
+    return _conversations(spark, sf)[1].select("conversation_id", "position", "tweet_id", "inbound")
 
 
-@query(_BUILT + """, per AS (SELECT conversation_id, count(*) AS n, count(*) FILTER (inbound) AS i, epoch_us(max(ts)) - epoch_us(min(ts)) AS span FROM built GROUP BY 1)
-SELECT count(*) AS conversations, sum(n)::BIGINT AS messages, count(*) FILTER (n >= 3) AS three_or_more, round(avg(n), 4) AS mean_length, median(n)::DOUBLE AS median_length, max(n) AS longest, sum(i)::BIGINT AS inbound, count(*) FILTER (span > 86400000000) AS over_a_day, max(span) AS longest_span_us FROM per""", msg=True, recursive=True)
+@query(_BUILT + """, per AS (SELECT conversation_id, min(customer) AS customer, count(*) AS n, count(*) FILTER (inbound) AS i, epoch_us(max(ts)) - epoch_us(min(ts)) AS span FROM built GROUP BY 1)
+SELECT count(*) AS conversations, sum(n)::BIGINT AS messages, count(*) FILTER (n >= 2) AS two_or_more, count(*) FILTER (n >= 3) AS three_or_more, round(avg(n), 4) AS mean_length, median(n)::DOUBLE AS median_length, min(n) AS shortest, max(n) AS longest, sum(i)::BIGINT AS inbound, sum(n - i)::BIGINT AS outbound, count(DISTINCT customer) AS customers,
+count(*) FILTER (span > 86400000000) AS over_a_day, count(*) FILTER (span > 7 * 86400000000::BIGINT) AS over_a_week, count(*) FILTER (span > 30 * 86400000000::BIGINT) AS over_a_month, max(span) AS longest_span_us FROM per""", msg=True, recursive=True)
 def conversation_stats(spark, sf):
-    per = threads.conversations(messages(spark, sf)).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("inbound").alias("i"), (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("span"))
-    return per.agg(F.count(F.lit(1)).alias("conversations"), F.sum("n").alias("messages"), F.count_if(F.col("n") >= 3).alias("three_or_more"), F.round(F.avg("n"), 4).alias("mean_length"), F.median("n").alias("median_length"), F.max("n").alias("longest"), F.sum("i").alias("inbound"), F.count_if(F.col("span") > 86_400_000_000).alias("over_a_day"), F.max("span").alias("longest_span_us"))
+    day = 86_400_000_000
+    per = _conversations(spark, sf)[1].groupBy("conversation_id").agg(F.min("customer").alias("customer"), F.count(F.lit(1)).alias("n"), F.count_if("inbound").alias("i"), (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("span"))
+    return per.agg(F.count(F.lit(1)).alias("conversations"), F.sum("n").alias("messages"), F.count_if(F.col("n") >= 2).alias("two_or_more"), F.count_if(F.col("n") >= 3).alias("three_or_more"), F.round(F.avg("n"), 4).alias("mean_length"), F.median("n").alias("median_length"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.sum("i").alias("inbound"), F.sum(F.col("n") - F.col("i")).alias("outbound"), F.count_distinct("customer").alias("customers"), F.count_if(F.col("span") > day).alias("over_a_day"), F.count_if(F.col("span") > 7 * day).alias("over_a_week"), F.count_if(F.col("span") > 30 * day).alias("over_a_month"), F.max("span").alias("longest_span_us"))
 
 
 @query(_BUILT + """, txt AS (SELECT conversation_id, position, '[' || CASE WHEN b.inbound THEN 'customer' ELSE 'brand' END || '] ' || """ + sql_strip(f"regexp_replace(coalesce(text, ''), '{B}+', ' ', 'g')") + """ AS line FROM built b JOIN msg USING (tweet_id))
 SELECT conversation_id, CASE WHEN count(*) <= 2 THEN 'short' WHEN count(*) <= 4 THEN 'medium' ELSE 'long' END AS length_bucket, string_agg(line, ' | ' ORDER BY position)[1:2000] AS context FROM txt GROUP BY 1""", msg=True, recursive=True)
 def context_strings(spark, sf):
     """Turns with roles in one string, cut at 2000 characters (the context's defined length), and the length bucket."""
-    m = messages(spark, sf)
+    m, built = _conversations(spark, sf)
     line = F.concat(F.lit("["), F.when(F.col("inbound"), "customer").otherwise("brand"), F.lit("] "), T.collapse(F.coalesce("text", F.lit(""))))
-    rows = threads.conversations(m).join(m.select("tweet_id", "text"), "tweet_id").select("conversation_id", "position", line.alias("line"))
-    per = rows.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("position", "line"))).alias("t"))
+    rows = built.join(m.select("tweet_id", "text"), "tweet_id").select("conversation_id", "position", line.alias("line"))
+    # lines that begin behind the cut are left out before any are gathered, so what is gathered is as long as the context
+    upto = Window.partitionBy("conversation_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("line") + 3).over(upto), F.lit(0)))
+    shown = F.when(F.col("before") < 2000, F.struct("position", F.substring("line", 1, 2000).alias("line")))
+    per = rows.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(shown)).alias("t"))
     return per.select("conversation_id", F.when(F.col("n") <= 2, "short").when(F.col("n") <= 4, "medium").otherwise("long").alias("length_bucket"), F.substring(F.array_join(F.col("t.line"), " | "), 1, 2000).alias("context"))
 
 
 @query(_BUILT + " SELECT tweet_id, position - 1 AS prior_turns, lag(tweet_id) OVER (PARTITION BY conversation_id ORDER BY position) AS prior_id FROM built", msg=True, recursive=True)
 def prior_turns(spark, sf):
     w = Window.partitionBy("conversation_id").orderBy("position")
-    return threads.conversations(messages(spark, sf)).select("tweet_id", (F.col("position") - 1).alias("prior_turns"), F.lag("tweet_id").over(w).alias("prior_id"))
+    return _conversations(spark, sf)[1].select("tweet_id", (F.col("position") - 1).alias("prior_turns"), F.lag("tweet_id").over(w).alias("prior_id"))
 
 
 @query(" SELECT 'res_' || p.tweet_id || '_' || c.tweet_id AS resolution_id, p.tweet_id AS customer_tweet_id, c.tweet_id AS brand_tweet_id, epoch_us(coalesce(c.ts, p.ts)) AS at_us FROM msg c JOIN msg p ON c.parent_id = p.tweet_id WHERE NOT c.inbound AND p.inbound", msg=True)

@@ -133,3 +133,42 @@ def test_settings(tmp_path):
     (tmp_path / "t.json").write_text('{"nothing": 1}')
     with pytest.raises(TypeError):
         files.Settings.load(str(tmp_path / "t.json"))
+
+
+def test_threads_by_both_link_fields(spark):
+    import datetime as dt
+
+    from supportlens.operators import threads
+
+    raw = spark.createDataFrame([("10", None, "20,30"), ("11", "nan", '"20"'), ("20", "10, 11", "[40]"), ("30", None, None), ("40", "20.0", ""), (None, "10", "20")], "tweet_id string, up string, down string")
+    named = threads.links(raw, "tweet_id", "up", "down")
+    assert {tuple(r) for r in named.collect()} == {("10", "20"), ("10", "30"), ("11", "20"), ("20", "40")}
+    t0 = dt.datetime(2024, 3, 1)
+    m = spark.createDataFrame([(i, a, a != "b", t0 + dt.timedelta(hours=h), None) for i, a, h in (("10", "c", 0), ("11", "d", 1), ("20", "b", 2), ("30", "b", 3), ("40", "c", 4))], "tweet_id string, author string, inbound boolean, ts timestamp, parent_id string")
+    edges = threads.reply_edges(m, named=named).cache()
+    want = {("b", "c", "10", "10"), ("b", "c", "10", "20"), ("b", "c", "10", "30"), ("b", "c", "10", "40"), ("b", "d", "11", "11"), ("b", "d", "11", "20")}
+    assert {tuple(r) for r in threads.edge_components(edges).collect()} == want  # the reply 20 is in a component of each customer
+    assert {tuple(r) for r in threads.edge_components(edges, max_local=0).collect()} == want
+    got = {(r["conversation_id"], r["position"], r["tweet_id"]) for r in threads.conversations(m, named=named).collect()}
+    assert got == {("conv_000001", 1, "10"), ("conv_000001", 2, "20"), ("conv_000001", 3, "30"), ("conv_000001", 4, "40"), ("conv_000002", 1, "11"), ("conv_000002", 2, "20")}
+
+
+def test_components_against_brute_force(spark):
+    import random
+
+    from supportlens.operators import threads
+
+    rng = random.Random(3)
+    rows = [(str(rng.randrange(40)), str(rng.randrange(40)), rng.choice("cd"), rng.choice("ab")) for _ in range(70)]
+    want = set()
+    for pair in {(r[3], r[2]) for r in rows}:
+        groups = []
+        for p, c, cu, br in rows:
+            if (br, cu) == pair:
+                met = [g for g in groups if g & {p, c}]
+                groups = [g for g in groups if g not in met] + [set().union({p, c}, *met)]
+        want |= {(*pair, min(g), x) for g in groups for x in g}
+    edges = spark.createDataFrame(rows, "parent_id string, child_id string, customer string, brand string").cache()
+    for n in (0, 10, 100):
+        assert {tuple(r) for r in threads.edge_components(edges, max_local=n).collect()} == want
+    assert threads.edge_components(edges.limit(0)).count() == 0
