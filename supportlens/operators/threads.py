@@ -24,7 +24,7 @@ def links(rows: DataFrame, id_col: str, parents: str, children: str) -> DataFram
     Both fields may pack several ids in any dress; both are parsed in one pass.
     """
     fields = F.explode(F.array(F.struct(F.lit("p").alias("way"), F.col(parents).alias("field")), F.struct(F.lit("c").alias("way"), F.col(children).alias("field")))).alias("x")
-    packed = rows.select(F.col(id_col).alias("id"), fields).select(F.concat("x.way", "id").alias("key"), "x.field")
+    packed = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), fields).select(F.concat("x.way", "id").alias("key"), "x.field")
     found = unpack(packed, "key", "field").filter("error is null or error = 'malformed'")
     own, up = F.substring("key", 2, 1 << 20), F.substring("key", 1, 1) == "p"
     return found.select(F.when(up, F.col("value")).otherwise(own).alias("parent_id"), F.when(up, own).otherwise(F.col("value")).alias("child_id")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supportlens.functions import text as T
-from supportlens.operators import classify, metrics, retrieval, rules, splits
+from supportlens.operators import classify, evidence, metrics, retrieval, rules, splits
 from supportlens.plans.base import MSG, messages
 from supportlens.sources.files import append_new
 from supportlens.sources.tables import keep_until_exit, new_path, stage, table
@@ -57,28 +57,43 @@ def risk_levels(spark, sf):
 
 
 # ---- retrieval
-_DOCS = """c AS MATERIALIZED (SELECT id, term, count(*) AS n FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]{2,})', 1)) AS term FROM (SELECT doc_id, max(text) AS text FROM documents GROUP BY 1)) GROUP BY 1, 2),
-idf AS MATERIALIZED (SELECT term, ln((1.0 + (SELECT count(DISTINCT doc_id) FROM documents)) / (1.0 + count(*))) + 1 AS idf, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= 2),
+_GRAMS = "unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT {id} AS id, regexp_extract_all(lower({text}), '([\\p{{L}}\\p{{N}}_]{{2,}})', 1) AS w FROM {source})"
+
+
+def _sql_index(id_: str, text: str, source: str) -> str:
+    """c: counts of words and pairs of words; idf: the 50,000 most frequent terms of two rows or more; w: weights of length one."""
+    return f"""c AS MATERIALIZED (SELECT id, term, count(*) AS n FROM (SELECT id, {_GRAMS.format(id=id_, text=text, source=source)}) GROUP BY 1, 2),
+idf AS MATERIALIZED (SELECT term, ln((1.0 + (SELECT count(*) FROM {source})) / (1.0 + count(*))) + 1 AS idf, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= 2 ORDER BY sum(n) DESC, term LIMIT 50000),
 r AS (SELECT id, term, (1 + ln(n)) * idf AS w FROM c JOIN idf USING (term)),
 w AS MATERIALIZED (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM r)"""
 
 
+_DOCS = _sql_index("doc_id", "text", "(SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY 1)")
+
+
+def _four(c):
+    """Four digits by plain arithmetic on doubles, alike on any engine."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 10000 + 0.5) / 10000
+
+
 def _index(spark, sf):
     docs = table(spark, sf, "documents").filter("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
-    counts = stage(retrieval.term_counts(docs, "doc_id", "text"), "term-counts")
-    inverse = retrieval.idf(counts, docs.count())
-    return docs.select(F.col("doc_id").alias("id")), counts, inverse, stage(retrieval.weights(counts, inverse), "term-weights")
+    return retrieval.Index.fit(docs, "doc_id", "text")
 
 
 @query(f"WITH {_DOCS} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def tfidf_vocabulary(spark, sf):
-    _, counts, inverse, _ = _index(spark, sf)
-    return inverse.join(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("term", "df", F.round("idf", 6).alias("idf"))
+    """Words and pairs of words with their idf."""
+    index = _index(spark, sf)
+    n = float(index.settings["documents"])
+    df = F.round((n + 1) / F.exp(F.col("idf") - 1) - 1).cast("long")
+    return index.inverse.select("term", df.alias("df"), F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_DOCS} SELECT id, count(*) AS terms, round(sum(weight), 4) AS total, round(max(weight), 4) AS largest FROM w GROUP BY 1")
 def tfidf_weights(spark, sf):
-    return _index(spark, sf)[3].groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 4).alias("largest"))
+    return _index(spark, sf).weights.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 4).alias("largest"))
 
 
 _TOP = """, s AS (SELECT q.id AS query_id, w.id, round(sum(q.weight * w.weight), 6) AS score FROM w q JOIN w USING (term) WHERE q.id % 20 = 0 AND q.id <> w.id GROUP BY 1, 2),
@@ -87,21 +102,21 @@ k AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER
 
 
 def _top(spark, sf, k: int, min_score: float = 0.0):
-    ids, _, _, w = _index(spark, sf)
-    asked = w.filter(F.col("id") % 20 == 0)
+    index = _index(spark, sf)
+    asked = index.weights.filter(F.col("id") % 20 == 0)
     own = asked.select(F.col("id").alias("query_id"), "id").distinct()
-    return retrieval.retrieve(asked, w, ids, k, min_score, own)
+    return retrieval.retrieve(asked, index.weights, index.ids, k, min_score, own)
 
 
-@query(f"WITH {_DOCS}{_TOP} SELECT query_id, id, round(score, 4) AS score, rank FROM k WHERE rank <= 3")
+@query(f"WITH {_DOCS}{_TOP} SELECT query_id, id, floor(score * 10000 + 0.5) / 10000 AS score, rank FROM k WHERE rank <= 3")
 def retrieve_topk(spark, sf):
     """The documents whose id is divisible by 20 as queries against all, without themselves."""
-    return _top(spark, sf, 3).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+    return _top(spark, sf, 3).select("query_id", "id", _four("score").alias("score"), "rank")
 
 
-@query(f"WITH {_DOCS}{_TOP} SELECT query_id, id, round(score, 4) AS score, rank FROM k WHERE rank <= 5 AND score >= 0.35")
+@query(f"WITH {_DOCS}{_TOP} SELECT query_id, id, floor(score * 10000 + 0.5) / 10000 AS score, rank FROM k WHERE rank <= 5 AND score >= 0.35")
 def retrieve_min_score(spark, sf):
-    return _top(spark, sf, 5, 0.35).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+    return _top(spark, sf, 5, 0.35).select("query_id", "id", _four("score").alias("score"), "rank")
 
 
 @query(f"""WITH {_DOCS}{_TOP}, h AS (SELECT k.query_id, k.rank, k.score, (a.doc_kind = b.doc_kind)::INT AS hit FROM k JOIN documents a ON a.doc_id = k.query_id JOIN documents b ON b.doc_id = k.id WHERE rank <= 5),
@@ -115,6 +130,63 @@ def retrieval_quality(spark, sf):
     return per.agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(f"p{n}"), 4).alias(f"p_at_{n}") for n in (1, 3, 5)], F.round(F.avg("rr"), 4).alias("mrr_at_5"), F.round(F.avg("top"), 4).alias("mean_top"))
 
 
+_PAIRS = _sql_index("resolution_id", "customer_text", "historical_resolution")
+_ASKED = "number % 20 = 0 AND customer_message IS NOT NULL"
+_EV = "(SELECT example_id, customer_message, pred_intent, intent_confidence, lower(trim(conversation_id)) AS conv, regexp_extract(example_id, '([0-9]+)$', 1)::BIGINT AS number FROM agent_evaluation)"
+
+
+def _sql_search(name: str, text: str, where: str, extra: str = "") -> str:
+    """name: the three best resolutions of other conversations for each query."""
+    return f"""{name}_c AS (SELECT id, term, count(*) AS n FROM (SELECT id, {_GRAMS.format(id='example_id', text=text, source=f"(SELECT * FROM {_EV} WHERE {_ASKED} AND {where})")}) GROUP BY 1, 2),
+{name}_w AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM (SELECT id, term, (1 + ln(n)) * idf AS w FROM {name}_c JOIN idf USING (term))),
+{name}_s AS (SELECT q.id AS query_id, w.id, round(sum(q.weight * w.weight), 6) AS score FROM {name}_w q JOIN w USING (term) JOIN {_EV} e ON e.example_id = q.id JOIN historical_resolution h ON h.resolution_id = w.id WHERE lower(trim(h.conversation_id)) IS DISTINCT FROM e.conv{extra} GROUP BY 1, 2),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {name}_s WHERE score >= 0.000001 QUALIFY rank <= 3)"""
+
+
+def _searching(spark, sf):
+    """The index over resolutions, the evaluation messages whose number is divisible by 20, and the pairs of one conversation."""
+    h = table(spark, sf, "historical_resolution").filter("resolution_id is not null")
+    conv = F.lower(F.trim("conversation_id"))
+    asked = _eval(spark, sf).filter("customer_message is not null").filter(F.regexp_extract("example_id", "([0-9]+)$", 1).cast("long") % 20 == 0)
+    same = asked.select(F.col("example_id").alias("query_id"), conv.alias("c")).join(h.select(F.col("resolution_id").alias("id"), conv.alias("c")), "c").select("query_id", "id")
+    return retrieval.Index.fit(h, "resolution_id", "customer_text"), h, asked, same
+
+
+@query(f"WITH {_PAIRS}, {_sql_search('a', 'customer_message', 'true', ' AND (e.pred_intent IS NULL OR e.pred_intent = h.intent)')} SELECT query_id, id, floor(score * 10000 + 0.5) / 10000 AS score, rank FROM a")
+def retrieve_by_intent(spark, sf):
+    """The three best resolutions of the predicted intent from other conversations."""
+    index, h, asked, same = _searching(spark, sf)
+    q = index.queries(asked, "example_id", "customer_message").join(asked.select(F.col("example_id").alias("id"), "pred_intent"), "id")
+    held = index.weights.join(h.select(F.col("resolution_id").alias("id"), "intent"), "id")
+    got = retrieval.retrieve(q, held, index.ids, 3, 1e-6, same, ("pred_intent", "intent"))
+    return got.select("query_id", "id", _four("score").alias("score"), "rank")
+
+
+_RETRY = "score >= 0.25 AND score < 0.35 AND intent_confidence >= 0.5 AND pred_intent <> 'other_unclear'"
+
+
+@query(f"""WITH {_PAIRS}, {_sql_search('a', 'customer_message', 'true')}, {_sql_search('b', "customer_message || ' ' || replace(pred_intent, '_', ' ')", f"example_id IN (SELECT query_id FROM a JOIN agent_evaluation e ON e.example_id = query_id WHERE rank = 1 AND {_RETRY})")},
+e AS (SELECT example_id, coalesce(x.score, 0.0) AS s1, y.score AS s2, x.score >= 0.25 AND x.score < 0.35 AND intent_confidence >= 0.5 AND pred_intent <> 'other_unclear' AS again FROM {_EV} LEFT JOIN a x ON x.query_id = example_id AND x.rank = 1 LEFT JOIN b y ON y.query_id = example_id AND y.rank = 1 WHERE {_ASKED}),
+f AS (SELECT *, coalesce(s2 > s1, false) AS adopted FROM e), i AS (SELECT query_id, 'a' AS side, string_agg(id, ',' ORDER BY rank) AS ids FROM a GROUP BY 1 UNION ALL SELECT query_id, 'b', string_agg(id, ',' ORDER BY rank) FROM b GROUP BY 1)
+SELECT example_id, floor(s1 * 10000 + 0.5) / 10000 AS first_similarity, CASE WHEN s1 = 0 THEN 'empty' WHEN s1 >= 0.35 THEN 'sufficient' WHEN s1 >= 0.25 THEN 'borderline' ELSE 'insufficient' END AS state, coalesce(again, false) AS retried, adopted, floor(CASE WHEN adopted THEN s2 ELSE s1 END * 10000 + 0.5) / 10000 AS similarity, coalesce(i.ids, '') AS evidence FROM f LEFT JOIN i ON i.query_id = example_id AND i.side = CASE WHEN adopted THEN 'b' ELSE 'a' END""")
+def retrieval_retry(spark, sf):
+    """Evidence with a bounded second search: only queries with borderline evidence and a sure, specific intent are asked again, with the intent's words."""
+    index, h, asked, same = _searching(spark, sf)
+    corpus = h.select(F.col("resolution_id").alias("id"), "customer_text", "brand_text", "intent")
+
+    def search(rows, text):
+        found = stage(retrieval.retrieve(index.queries(rows, "example_id", text), index.weights, index.ids, 3, 1e-6, same), "found")
+        best = found.groupBy(F.col("query_id").alias("example_id")).agg(F.max("score").alias("top"))
+        shown = evidence.items(found, corpus).select(F.col("query_id").alias("example_id"), F.array_join(F.transform("evidence", lambda e: e["evidence_id"]), ",").alias("ids"))
+        return best.join(shown, "example_id")
+
+    one = asked.select("example_id", "customer_message", "pred_intent", "intent_confidence").join(search(asked, "customer_message"), "example_id", "left")
+    one = stage(one.withColumn("state", evidence.sufficiency(F.col("top"), F.col("top").isNotNull())).withColumn("retried", evidence.may_retry(F.col("state"), F.col("intent_confidence"), F.col("pred_intent"))), "first-search")
+    two = search(one.filter("retried").withColumn("more", evidence.augmented(F.col("customer_message"), F.col("pred_intent"))), "more").select("example_id", F.col("top").alias("top2"), F.col("ids").alias("ids2"))
+    both = evidence.adopt(one.join(two, "example_id", "left"), "top", "top2")
+    return both.select("example_id", _four(F.coalesce("top", F.lit(0.0))).alias("first_similarity"), "state", "retried", "adopted", _four("final_similarity").alias("similarity"), F.coalesce(F.when(F.col("adopted"), F.col("ids2")).otherwise(F.col("ids")), F.lit("")).alias("evidence"))
+
+
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.vec_id, a.label, b.label AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.vec_id) AS rank FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
 SELECT count(DISTINCT vec_id) AS queries, round(avg((label = other)::INT), 4) AS p_at_5 FROM s WHERE rank <= 5""")
 def embedding_neighbours(spark, sf):
@@ -122,7 +194,7 @@ def embedding_neighbours(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     e = e.withColumn("norm", norm(F.col("v")))
-    blocks = 8
+    blocks = max(8, e.count() // 20_000)  # queries per block stay the same as the table grows
     q = e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_label"), F.col("v").alias("qv"), F.col("norm").alias("qn"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
     spread = e.withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in range(blocks)])))
     dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

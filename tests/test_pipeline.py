@@ -172,3 +172,26 @@ def test_components_against_brute_force(spark):
     for n in (0, 10, 100):
         assert {tuple(r) for r in threads.edge_components(edges, max_local=n).collect()} == want
     assert threads.edge_components(edges.limit(0)).count() == 0
+
+
+def test_index_of_words_and_pairs(spark, tmp_path):
+    from supportlens.operators import retrieval
+
+    df = spark.createDataFrame([(1, "battery drain fast", "a"), (2, "drain battery now", "b"), (3, "battery drain again", "b"), (4, None, "a"), (5, "", "a")], "id int, text string, kind string").cache()
+    index = retrieval.Index.fit(df, "id", "text", min_df=1)
+    best = retrieval.retrieve(index.queries(df.filter("id = 1"), "id", "text"), index.weights, index.ids, 3, 0.01)
+    assert [r["id"] for r in best.orderBy("rank").collect()] == [1, 3, 2]  # the order of words counts
+    asked = index.queries(df.filter("id = 1"), "id", "text").withColumn("want", F.lit("b"))
+    held = index.weights.join(df.select("id", "kind"), "id")
+    assert [r["id"] for r in retrieval.retrieve(asked, held, index.ids, 3, 0.01, kinds=("want", "kind")).orderBy("rank").collect()] == [3, 2]
+    free = asked.withColumn("want", F.lit(None).cast("string"))
+    assert retrieval.retrieve(free, held, index.ids, 3, 0.01, kinds=("want", "kind")).count() == 3
+    with pytest.raises(ValueError):
+        retrieval.retrieve(asked, held, index.ids, 3, kinds=("want", "kind"))
+    small = retrieval.Index.fit(df, "id", "text", min_df=1, max_features=2)
+    assert {r["term"] for r in small.inverse.collect()} == {"battery", "drain"}  # met most often
+    index.save(str(tmp_path / "i"))
+    again = retrieval.Index.load(spark, str(tmp_path / "i"))
+    assert again.settings == index.settings and again.weights.exceptAll(index.weights).count() == 0
+    with pytest.raises(ValueError):
+        retrieval.Index.fit(df.limit(0), "id", "text")
