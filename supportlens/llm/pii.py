@@ -9,8 +9,10 @@
    into tokens, for numbers into shapes, so that a pattern found with some persons finds others.
 4. High-confidence patterns and tokens, with the seeds' own forms, are applied to every text.
 
-Patterns kept have at least 1/20,000 of all known instances (and three), name tokens 1/50,000 of the trusted names
-(and two), so there are at most 40,000 patterns and 150,000 tokens however large the corpus, and they are broadcast.
+Support is absolute and the same at every size: a number pattern needs three known instances, a name pattern or token two. A pair
+of capitalised words is no person where the contexts it is met in surely are none (see ``_impure``), however often it is met; a pair
+of two name tokens known from others is a person all the same. What is learned is a table. Up to ``most`` rows (a size checked by a count) it
+is broadcast; beyond that it is joined to the words, pairs and patterns of each text, with the same findings.
 
 Defined results: null and empty texts have no entities and stay as they are; rows with a null id are left out of the findings;
 overlapping entities are settled by order (email, identity number, phone, address, name); repeated rows give one
@@ -19,6 +21,7 @@ finding per type; empty tables give empty results; the text outside of placehold
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportlens.sources.tables import ship, stage
+from supportlens.sources.tables import ship, stage, unstage
 
 TYPES = ("email", "id_number", "phone", "address", "name")
 _L, _U = "[^\\W\\d_]", "A-ZÀ-ÖØ-Þ"
@@ -49,7 +52,7 @@ DE_ADDRESS = re.compile(rf"\b{_L}[\w-]*(?:straße|strasse|str\.|platz|weg|gasse|
 _ADDRESSES = (EN_ADDRESS, FR_ADDRESS, ES_ADDRESS, DE_ADDRESS)
 #: Cue words of numbers that an authority gives a person, and of numbers that are something else.
 ID_CUES = re.compile(r"\b(?:ssn|my social|social security|passport|passeport|pasaporte|reisepass|(?:personal)?ausweis\w*|identity|identité|identidad|national (?:id|insurance)|nino|dni|nie|nif|cni|tax(?:payer)? ?(?:id|number|ref\w*)?|tin|steuer\w*|fiscal\w*|(?:driv\w+(?:['’]s)?|driver) licen[cs]e|licen[cs]e number|führerschein\w*|permis|permiso|carnet de conducir|sozialversicherung\w*|sécurité sociale|sécu|seguridad social|nhs|medicare|insurance number)\b")
-NOT_ID_CUES = re.compile(r"\b(?:order|case|receipt|ref|reference|tracking|imei|serial|invoice|ticket|model|build|version|error|fall|caso|cas|pedido|commande|bestellung|rechnung|facture|factura|paid|sku|part|batch|code|miraos|tavoos|system|step)\b")
+NOT_ID_CUES = re.compile(r"\b(?:order|case|receipt|ref|reference|tracking|imei|serial|invoice|ticket|model|build|version|error|fall|caso|cas|pedido|commande|bestellung|rechnung|facture|factura|paid|sku|part|batch|code|system|step)\b")
 PHONE_CUES = re.compile(r"\b(?:call|phone|tel|tél|téléphone|teléfono|telefon|mobile|cell|móvil|handy|number|numéro|número|nummer|ring|text|whatsapp|appelez|llámenme|ruft|reach me|get me)\b")
 #: The shapes such numbers come in: digits and letters with single separators.
 NUMBER = re.compile(r"(?<![\w@/#.+$£€-])(?:(?!(?:id|no|nr|ssn|dni|nie|nif|tin|is|es|ist|est|at|on)\b)[A-Z]{1,5}[ -]?)?\d(?:[ ./-]?\d|[A-Z]{1,2}(?=\d)){3,22}(?:(?-i:[ -]?[A-Z]{1,2})|-?[a-z]{1,2})?(?![\w@/]|-\d)", re.I)
@@ -119,64 +122,100 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in rows], pa.string()) for i in range(4)] + [pa.array([n for _, n in rows], pa.int64())], names=["kind", "pattern", "instance", "known", "n"])
 
 
-Learned = tuple[dict[str, str], set[str], set[str]]
+Knowledge = tuple[dict[str, str], set[str], set[str]]  # patterns with their type, name tokens, pairs that are no persons
 _TITLE_SET = set(TITLES.replace("\\.", "").split("|"))
+_LEAST_NUMBER, _LEAST_NAME, _CUED = 3, 2, 0.25
 
 
-def learn(texts: DataFrame, rounds: int = 3) -> Learned:
-    """Patterns with their type, name tokens, and pairs too frequent to be a person, from a column ``text``."""
+class Learned:
+    """What was learned, as a staged table of (kind, key, value), and its size."""
+
+    def __init__(self, rows: DataFrame, most: int):
+        self.rows, self.most = rows, most
+        self.size = rows.count()
+
+    def local(self) -> Knowledge | None:
+        """All of it for a broadcast, or null where it is too large for one."""
+        return knowledge((r["kind"], r["key"], r["value"]) for r in self.rows.collect()) if self.size <= self.most else None
+
+
+def knowledge(rows) -> Knowledge:
+    patterns, tokens, common = {f"name:{p}": "name" for p in NAME_SEEDS}, set(), set()
+    for kind, key, value in rows:
+        if kind == "number":
+            patterns[key] = value
+        elif kind == "cue":
+            patterns[f"name:{key}"] = "name"
+        else:
+            (tokens if kind == "token" else common).add(key)
+    return patterns, tokens, common
+
+
+def _impure(met: str, cued: str):
+    """Whether cues of names are surely fewer than a quarter of the distinct patterns a pair is met behind.
+
+    1.65 standard errors below, so few contexts prove nothing; the rule is the same at every size.
+    """
+    n = F.col(met)
+    return F.col(cued) / n + 1.65 * (_CUED * (1 - _CUED)) ** 0.5 / F.sqrt(n) < _CUED
+
+
+def learn(texts: DataFrame, rounds: int = 3, most: int = 200_000) -> Learned:
+    """Patterns with their type, name tokens, and pairs that are no persons, from a column ``text``."""
     cand = texts.mapInArrow(_candidates, "kind string, pattern string, instance string, known string, n long")
     cand = stage(cand.groupBy("kind", "pattern", "instance", "known").agg(F.sum("n").alias("n")), "pii-candidates")
-    patterns: dict[str, str] = {}
 
     # numbers: patterns score by the known types of their instances, unknown instances by those of their shapes
     numbers = cand.filter("kind = 'number'")
     typed = numbers.filter("known <> ''")
-    least = max(3, (numbers.agg(F.sum("n")).first()[0] or 0) // 20_000)
+    found = None
     for _ in range(rounds):
         shapes = typed.groupBy("instance").agg(*[(F.sum(F.when(F.col("known") == k, F.col("n")).otherwise(0)) / F.sum("n")).alias(k) for k in ("phone", "id_number", "other")])
         scored = numbers.join(shapes, "instance", "left").select("pattern", "n", *[F.when(F.col("known") != "", (F.col("known") == k).cast("double")).otherwise(F.coalesce(k, F.lit(0.0))).alias(k) for k in ("phone", "id_number", "other")])
         by = scored.groupBy("pattern").agg(F.sum("n").alias("support"), *[(F.sum(F.col(k) * F.col("n")) / F.sum("n")).alias(k) for k in ("phone", "id_number", "other")])
-        good = by.filter(F.col("support") >= least).select("pattern", F.when((F.col("phone") >= 0.35) & (F.col("other") < 0.1), "phone").when((F.col("id_number") >= 0.8) & (F.col("other") < 0.05), "id_number").when(F.col("other") >= 0.8, "other").alias("type")).filter("type is not null")
-        found = stage(good, "pii-patterns")
+        good = by.filter(F.col("support") >= _LEAST_NUMBER).select("pattern", F.when((F.col("phone") >= 0.35) & (F.col("other") < 0.1), "phone").when((F.col("id_number") >= 0.8) & (F.col("other") < 0.05), "id_number").when(F.col("other") >= 0.8, "other").alias("type")).filter("type is not null")
+        new = stage(good, "pii-number-patterns")
+        unstage(found)
+        found = new
         typed = numbers.join(found, "pattern", "left").withColumn("known", F.when(F.col("known") == "", F.coalesce("type", F.lit(""))).otherwise(F.col("known"))).drop("type").filter("known <> ''")
-        patterns = {r["pattern"]: r["type"] for r in found.collect()}  # at most 20,000
 
     # names: tokens known from seeds, patterns by the share of distinct pairs with known tokens, and so on
     names = cand.filter("kind = 'name'")
-    # a pair is too frequent by the distinct patterns it is met behind, so repeated texts add nothing; where a quarter of these
-    # are cues of names, it is a person met often
-    counted = stage(names.groupBy("instance").agg(F.count_distinct("pattern").alias("all"), F.count_distinct(F.when(F.col("known") == "name", F.col("pattern"))).alias("cued")), "pii-pairs")
-    often = max(50, (counted.agg(F.sum("all")).first()[0] or 0) // 5_000)
-    frequent = (F.col("all") >= often) & (F.col("cued") < 0.25 * F.col("all"))
-    rare = stage(names.join(counted.filter(~frequent).select("instance"), "instance").withColumn("tokens", F.filter(F.split("instance", " "), lambda t: (F.length(t) > 1) & ~t.isin(*_TITLE_SET))), "pii-names")
-    trusted = rare.filter("known = 'name'").select("instance", "tokens").distinct()
+    counted = stage(names.groupBy("instance").agg(F.count_distinct("pattern").alias("met"), F.count_distinct(F.when(F.col("known") == "name", F.col("pattern"))).alias("cued")), "pii-pairs")
+    parts = F.filter(F.split("instance", " "), lambda t: (F.length(t) > 1) & ~t.isin(*_TITLE_SET))
+    rare = stage(names.join(counted.filter(~_impure("met", "cued")).select("instance"), "instance").withColumn("tokens", parts), "pii-names")
+    trusted = stage(rare.filter("known = 'name'").select("instance", "tokens").distinct(), "pii-trusted")
     spread = stage(rare.select("instance", "tokens").distinct().select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("pairs")), "pii-spread")
-    name_patterns: set[str] = set()
+    known = good = None
     for k in range(rounds + 1):
-        token_least = max(2, trusted.count() // 50_000)
         # a token must be met in trusted pairs, and not mostly in others: a word of the language is in pairs of all kinds
         support = trusted.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("support"))
-        known = stage(support.join(spread, "token").filter((F.col("support") >= token_least) & (F.col("support") >= 0.25 * F.col("pairs"))).select("token"), "pii-tokens")
+        new = stage(support.join(spread, "token").filter((F.col("support") >= _LEAST_NAME) & (F.col("support") >= 0.25 * F.col("pairs"))).select("token"), "pii-tokens")
+        unstage(known, trusted)
+        known = new
         if k == rounds:
             break
         pairs = rare.select("pattern", "instance", F.explode("tokens").alias("token")).distinct().join(known.withColumn("hit", F.lit(1)), "token", "left").groupBy("pattern", "instance").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
-        scored = stage(pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("support"), F.sum("hit").alias("hits")).filter("hits > 0"), "pii-scored")
-        least = max(2, (scored.agg(F.sum("hits")).first()[0] or 0) // 20_000)
-        good = stage(scored.filter((F.col("support") >= 3) & (F.col("hits") >= least) & (F.col("hits") >= 0.6 * F.col("support"))).select("pattern"), "pii-patterns")
-        trusted = rare.join(good, "pattern", "left_semi").select("instance", "tokens").distinct()
-        name_patterns = {r["pattern"] for r in good.collect()}  # at most 20,000
-    tokens = {r["token"] for r in known.collect()}  # at most 150,000
-    # the patterns learned may show that a frequent pair is a person after all
+        scored = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("support"), F.sum("hit").alias("hits"))
+        new = stage(scored.filter((F.col("support") >= 3) & (F.col("hits") >= _LEAST_NAME) & (F.col("hits") >= 0.6 * F.col("support"))).select("pattern"), "pii-name-patterns")
+        unstage(good)
+        good = new
+        trusted = stage(rare.join(good, "pattern", "left_semi").select("instance", "tokens").distinct(), "pii-trusted")
+    # the patterns learned may show that a pair ruled out is a person after all
     cues = good.withColumn("cue", F.lit(True))
-    shares = names.join(counted.filter(frequent).select("instance"), "instance").join(cues, "pattern", "left").groupBy("instance").agg(F.count_distinct("pattern").alias("all"), F.count_distinct(F.when((F.col("known") == "name") | F.col("cue"), F.col("pattern"))).alias("cued"))
-    judged = {r["instance"]: r["cued"] >= 0.25 * r["all"] for r in shares.collect()}  # at most 5,000
-    common = {pair for pair, person in judged.items() if not person}
-    tokens |= {t for pair, person in judged.items() if person for t in pair.split(" ") if len(t) > 1 and t not in _TITLE_SET}
-    patterns |= {f"name:{p}": "name" for p in name_patterns | NAME_SEEDS}
-    return patterns, tokens, common
+    shares = names.join(counted.filter(_impure("met", "cued")).select("instance"), "instance").join(cues, "pattern", "left").groupBy("instance").agg(F.count_distinct("pattern").alias("met"), F.count_distinct(F.when((F.col("known") == "name") | F.col("cue"), F.col("pattern"))).alias("cued"))
+    shares = stage(shares, "pii-shares")
+    person = F.col("cued") >= _CUED * F.col("met")
+    more = shares.filter(person).withColumn("tokens", parts).select(F.explode("tokens").alias("token"))
+    row = lambda df, kind, key, value: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), value.alias("value"))
+    one = F.lit("name")
+    rows = row(found, "number", "pattern", F.col("type")).unionByName(row(good, "cue", "pattern", one)).unionByName(row(known.unionByName(more).distinct(), "token", "token", one)).unionByName(row(shares.filter(~person), "common", "instance", F.lit("no person")))
+    out = Learned(stage(rows, "pii-learned"), most)
+    unstage(cand, found, counted, rare, spread, known, good, shares)
+    return out
 
 
+_AT_HOST = re.compile(r"\s(?:at|arroba|arobase)\s+[a-z0-9-]*[a-z][a-z0-9-]*\.[a-z]")
 _SPELLED_DOT = re.compile(r"\b(?:dot|punkt|punto|point)\b", re.I)
 
 # ---- application -------------------------------------------------------------------------------------------------
@@ -191,6 +230,7 @@ _SPOKEN_SET = set("three four five six seven eight nine zero cinq sept huit neuf
 _AT_SET = {"at", "arroba", "arobase", "ät", "a"}
 _DOT_SET = {"dot", "punkt", "punto", "point"}
 _ID_SET = set("ssn social passport passeport pasaporte reisepass ausweis personalausweis identity identité identidad national nino dni nie nif cni tax taxpayer tin steuer fiscal licence license driver führerschein permis permiso carnet sozialversicherung sécurité sécu seguridad nhs medicare insurance".split())
+_ID_STEMS = ("ausweis", "personalausweis", "steuer", "sozialversicherung", "führerschein", "driv")
 _PHONE_SET = set("call phone tel tél téléphone teléfono telefon mobile cell móvil handy number numéro número nummer ring text whatsapp appelez llámenme ruft reach get my mein mon mi".split())
 
 
@@ -204,8 +244,8 @@ class Finder:
         self.cue_list = [c.replace("’", "'") for c in cues]
         self.loose_name = re.compile(r"\b(" + "|".join(r"\W{1,3}".join(re.escape(w) for w in p.split()) for p in cues) + r")\b[\s,:]+((?:(?:" + TITLES + rf")\.?\s+)?{_L}[\w’'-]*,? (?:{_L}\.? )?{_L}[\w’'-]*)", re.I) if cues else None
         last = lambda kind: {p.split()[-1] for p, k in patterns.items() if k == kind and p}
-        self.id_words = _ID_SET | {w for w in last("id_number") if len(w) > 3}
-        self.phone_words = _PHONE_SET | last("phone")
+        self.id_words = _ID_SET | {t for w in last("id_number") for t in _TOKEN.findall(w)}
+        self.phone_words = _PHONE_SET | {t for w in last("phone") for t in _TOKEN.findall(w)}
         self.cue_words = {_TOKEN.findall(c)[-1] for c in self.cue_list}
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
@@ -220,13 +260,13 @@ class Finder:
         if "@" in text or "＠" in text:
             for m in EMAIL.finditer(text):
                 add(*m.span(), "email")
-        if (toks & _AT_SET and (toks & _DOT_SET or "(" in text or "[" in text or "{" in text)) or " @ " in text or "＠" in text:
+        if (toks & _AT_SET and (toks & _DOT_SET or "(" in text or "[" in text or "{" in text or _AT_HOST.search(low))) or " @ " in text or "＠" in text:
             for m in SPELLED_EMAIL.finditer(text):
                 if not m["at"].strip().isalpha() or _SPELLED_DOT.search(m[0]) or "." in text[m.end("at") : m.end()]:
                     add(*m.span(), "email")
         digits = len(_DIGIT.findall(text))
         if digits:
-            if digits >= 5 and toks & self.id_words:
+            if digits >= 5 and (toks & self.id_words or any(t.startswith(_ID_STEMS) for t in toks)):
                 for m in _numbers(text):
                     cue = _cue(text, m.start())
                     if not NOT_ID_CUES.search(cue) and (ID_CUES.search(cue) or (self.patterns.get(pattern(text, m.start())) == "id_number" and not PHONE_CUES.search(cue))):
@@ -292,7 +332,7 @@ class Finder:
             if not hits or a in _NO_NAME or b in _NO_NAME or (not styled and (m[3].isupper() and len(b) < 4)):
                 continue
             ahead, behind = _TOKEN.match(low, m.end() + 1), _TOKEN.findall(low[max(0, m.start() - 20) : m.start()])
-            if {f"{a} {b}", f"{b} {ahead[0] if ahead else ''}", f"{behind[-1] if behind else ''} {a}"} & self.common:
+            if hits < 2 and {f"{a} {b}", f"{b} {ahead[0] if ahead else ''}", f"{behind[-1] if behind else ''} {a}"} & self.common:
                 continue
             if hits == 2 and not (shouted and m[2] == ", ") or not styled:
                 add(*m.span(), "name")
@@ -318,45 +358,82 @@ _NO_STREET_NAME = set("the a an of on in at to for from with and or my your our
 _NO_NAME = set("the a an my your our i we you he she it they is was are and or of in on at to for from team support customer service sir madam everyone anybody nobody please thanks".split())
 
 
-def _shared(texts: DataFrame, learned: Learned):
-    return texts.sparkSession.sparkContext.broadcast(learned)
+def _keys(text: str) -> set[tuple[str, str]]:
+    """All that a Finder may look up for a text: its words, neighbouring words, and the patterns of its numbers."""
+    low = text.lower()
+    words = _WORDS.findall(low.replace("’", "'")) + _WORDS.findall(low)
+    out = {("token", t) for t in {*words, *re.findall(r"[\w’'-]+", low), *_TOKEN.findall(low), *(p for w in re.findall(r"[\w’'-]+", low) for p in w.split("-"))}}
+    for seq in (_WORDS.findall(low), _WORDS.findall(low.replace("’", "'"))):
+        out |= {("cue", w) for w in seq} | {("cue", f"{a} {b}") for a, b in zip(seq, seq[1:])}
+    plain = re.findall(r"[\w’'-]+", low)
+    toks = _TOKEN.findall(low)
+    out |= {("common", f"{a} {b}") for seq in (plain, toks) for a, b in zip(seq, seq[1:])}
+    out |= {("common", f"{m[1].lower()} {m[3].lower()}") for m in PAIR.finditer(text)}
+    out |= {("common", f"{m[3].lower()} {t}") for m in PAIR.finditer(text) for t in toks} | {("common", f"{t} {m[1].lower()}") for m in PAIR.finditer(text) for t in toks}
+    for rx in (NUMBER, STRONG_PHONE, WEAK_PHONE):
+        out |= {("number", pattern(text, m.start())) for m in rx.finditer(text)}
+    return out
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, kinds, keys = [], [], []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            for kind, key in _keys(text):
+                at.append(i)
+                kinds.append(kind)
+                keys.append(key)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(keys, pa.string())], names=["at", "kind", "key"])
+
+
+def _with_knowledge(part: DataFrame, learned: Learned):
+    """The rows, with a column ``known`` of what their text may look up where that is not broadcast, and a maker of finders."""
+    local = learned.local()
+    if local is not None:
+        shared = part.sparkSession.sparkContext.broadcast(local)
+        return part.withColumn("known", F.lit(None).cast("string")), lambda: (lambda _, finder=Finder(*shared.value): finder)
+    texts = part.select("text").filter("text is not null").distinct().select(F.md5("text").alias("at"), "text")
+    hits = texts.mapInArrow(_asked, "at string, kind string, key string").join(learned.rows, ["kind", "key"]).groupBy("at").agg(F.to_json(F.collect_list(F.array("kind", "key", "value"))).alias("known"))  # as long as the text
+    own = part.withColumn("at", F.md5("text")).join(hits, "at", "left").drop("at")
+    return own, lambda: (lambda known: Finder(*knowledge(json.loads(known) if known else ())))
 
 
 def find(rows: DataFrame, learned: Learned, id_cols: tuple[str, ...], text_col: str) -> DataFrame:
-    """The id columns, pii_type: distinct findings."""
-    part = rows.select(*[F.col(c).cast("string").alias(c) for c in id_cols], F.col(text_col).alias("text")).filter("text is not null")
-    shared, n = _shared(part, learned), len(id_cols)
+    """The id columns, pii_type: distinct findings of each row."""
+    names, n = [f"id{i}" for i in range(len(id_cols))], len(id_cols)
+    part = rows.select(*[F.col(c).cast("string").alias(k) for c, k in zip(id_cols, names)], F.col(text_col).alias("text")).filter("text is not null")
+    part, maker = _with_knowledge(part, learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(*shared.value)
+        finder = maker()
         for batch in batches:
             at, kinds = [], []
-            for k, text in enumerate(batch.column(n).to_pylist()):
-                for kind in {s[2] for s in finder.spans(text)}:
+            for k, (text, known) in enumerate(zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())):
+                for kind in {s[2] for s in finder(known).spans(text)}:
                     at.append(k)
                     kinds.append(kind)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in range(n)] + [pa.array(kinds, pa.string())], names=[*id_cols, "pii_type"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in range(n)] + [pa.array(kinds, pa.string())], names=[*names, "pii_type"])
 
-    return part.mapInArrow(run, ", ".join(f"`{c}` string" for c in id_cols) + ", pii_type string")
+    found = part.select(*names, "text", "known").mapInArrow(run, ", ".join(f"{k} string" for k in names) + ", pii_type string")
+    return found.select(*[F.col(k).alias(c) for k, c in zip(names, id_cols)], "pii_type")
 
 
 def masked(rows: DataFrame, learned: Learned, id_col: str, text_col: str) -> DataFrame:
     """id, masked: every text with its entities replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS], [NAME]; null stays null."""
-    part = rows.select(F.col(id_col).cast("string").alias(id_col), F.col(text_col).alias("text"))
-    shared = _shared(part, learned)
+    part, maker = _with_knowledge(rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")), learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(*shared.value)
+        finder = maker()
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
-                for a, b, kind in reversed(finder.spans(text) if text else []):
+            for text, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for a, b, kind in reversed(finder(known).spans(text) if text else []):
                     text = f"{text[:a]}[{kind.upper()}]{text[b:]}"
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[id_col, "masked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["id", "masked"])
 
-    return part.mapInArrow(run, f"`{id_col}` string, masked string")
+    return part.select("id", "text", "known").mapInArrow(run, "id string, masked string").withColumnRenamed("id", id_col)
 
 
 def texts_of(*columns: tuple[DataFrame, str]) -> DataFrame:

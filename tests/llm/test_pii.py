@@ -31,14 +31,20 @@ def test_bootstrapping_finds_patterns_from_seeds(spark):
     rows += ["my parcel went to Odile Hazelby instead", None, "", "x" * 50_000]
     df = spark.createDataFrame([(str(i), t, "z") for i, t in enumerate(rows)] + [(None, "a@b.example", "z")], "rid string, body string, text string")
     learned = pii.learn(pii.texts_of((df, "body")))
-    assert "name:went to" in learned[0] and "linnea" in learned[1] and "arlen" not in learned[1]
+    patterns, tokens, _ = learned.local()
+    assert "name:went to" in patterns and "linnea" in tokens and "arlen" not in tokens
     got = {tuple(r) for r in pii.find(df.filter("rid is not null"), learned, ("rid",), "body").collect()}
     assert {i for i, k in got if k == "name"} >= {str(i) for i in range(100)} and not {i for i, k in got if k == "name" and 100 <= int(i) < 300}
     assert sum(k == "id_number" for _, k in got) == 20
     masked = {r["rid"]: r["masked"] for r in pii.masked(df, learned, "rid", "body").collect()}
     assert masked["0"] == "hello, my name is [NAME]" and masked[str(len(rows) - 3)] is None and masked[str(len(rows) - 1)] == rows[-1] and masked["100"] == rows[100]
     assert pii.find(df.limit(0), learned, ("rid",), "body").count() == 0
-    assert pii.learn(pii.texts_of((df.limit(0), "body")))[1] == set()
+    assert pii.learn(pii.texts_of((df.limit(0), "body"))).local()[1] == set()
+    # the same findings where what was learned is too large for a broadcast and is joined to the texts
+    learned.most = 0
+    joined = {tuple(r) for r in pii.find(df.filter("rid is not null"), learned, ("rid",), "body").collect()}
+    assert joined == got
+    assert {r["rid"]: r["masked"] for r in pii.masked(df, learned, "rid", "body").collect()} == masked
 
 
 def test_a_person_named_often_is_found(spark):
@@ -48,7 +54,18 @@ def test_a_person_named_often_is_found(spark):
     often = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)} thing {x} again" for i in range(60) for x in ("Nova Orbit",)]
     rows = people + copies + often
     learned = pii.learn(pii.texts_of((spark.createDataFrame([(t,) for t in rows], "body string"), "body")))
-    finder = pii.Finder(*learned)
+    _, tokens, common = knowledge = learned.local()
+    finder = pii.Finder(*knowledge)
     assert "name" in {k for _, _, k in finder.spans(copies[0])}
-    assert "linnea tarnworth" not in learned[2] and "nova orbit" in learned[2]
+    assert "linnea tarnworth" not in common and "nova orbit" in common
     assert not finder.spans(often[0])
+    # a pair of two known name tokens is a person, whatever its contexts were
+    assert {"linnea", "vellado"} <= tokens
+    assert "name" in {k for _, _, k in pii.Finder(knowledge[0], tokens, common | {"linnea vellado"}).spans("Linnea Vellado here again")}
+
+
+def test_the_rule_for_pairs_is_the_same_at_every_size(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, 0), (8, 0), (9, 0), (9, 2), (60, 3), (6000, 300), (6000, 1600)], "met long, cued long")
+    assert [r[0] for r in df.select(pii._impure("met", "cued")).collect()] == [False, False, True, False, True, True, False]
