@@ -8,7 +8,9 @@ and out-of-order messages simply join the buffer.
 
 ``rebuild`` replays a whole table through it: reply trees are resolved by the core's hierarchy operator, the messages
 are staged with their roots and streamed; a last marker row moves the watermark past every conversation, so
-all are closed. The replay is one micro-batch, within which nothing can be late. A conversation above
+all are closed. With ``slices`` above 1 the table is replayed in that many micro-batches by arrival, as a stream would bring it;
+by default it is one, within which nothing can be late and no gap of arrivals splits a conversation. Messages that the watermark drops are
+never lost in silence: the replay counts them and raises. A conversation above
 ``max_local`` messages is not buffered in one task's state: its order comes from two-level ranking joins,
 with the same rules.
 
@@ -29,11 +31,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from supportlens.functions.ids import bare_id, flag, handle_key, instant, latest, visible
 from supportlens.operators.hierarchy import CYCLE, hierarchy, missing_parents
-from supportlens.sources.tables import new_path, remove, ship, stage
+from supportlens.sources.tables import keep_until_exit, new_path, remove, ship, stage, unstage
 
 MESSAGE = "bucket long, root_id string, tweet_id string, at long, brand boolean, visible boolean, broken boolean, arrived timestamp"
 RESULT = "root_id string, position long, tweet_id string, role string"
@@ -107,15 +110,36 @@ def messages_of(twcs: DataFrame, accounts: DataFrame, rows_per_bucket: int = 4_0
     return out
 
 
-def _replayed(messages: DataFrame, idle: str, lateness: str) -> DataFrame:
+class LateMessages(RuntimeError):
+    """Messages came behind the watermark and were dropped."""
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """How many messages the watermark has dropped, by the progress of a stream."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def _replayed(messages: DataFrame, idle: str, lateness: str, slices: int) -> DataFrame:
     spark = messages.sparkSession
     at, out, progress = (new_path(spark, x) for x in ("replay", "conversations", "progress"))
+    columns = [x.split()[0] for x in MESSAGE.split(", ")]
     marker = spark.range(1).select(F.lit(_MARKER).cast("long").alias("bucket"), *[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in MESSAGE.split(", ")[1:-1])], F.timestamp_seconds(F.lit(_MARKED)).alias("arrived"))
-    messages.select(*[x.split()[0] for x in MESSAGE.split(", ")]).unionByName(marker).write.parquet(at)
-    stream = spark.readStream.schema(MESSAGE).parquet(at)
-    query = assemble(stream, idle, lateness).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    rows = messages.select(*columns)
+    query, late = None, 0
+    first, last = rows.agg(F.min("arrived"), F.max("arrived")).first() if slices > 1 else (None, None)
+    width = (last - first) / slices if first else None
+    for k in range(slices if first else 1):
+        part = rows if not first else rows.filter((F.col("arrived") >= F.lit(first + k * width)) & ((F.col("arrived") < F.lit(first + (k + 1) * width)) if k + 1 < slices else F.lit(True)))
+        whole = part.unionByName(marker) if not first or k + 1 == slices else part
+        whole.write.mode("append").parquet(at)
+        # a query that stops when all is read and goes on from its checkpoint with the next slice
+        query = assemble(spark.readStream.schema(MESSAGE).parquet(at), idle, lateness).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        late += dropped_late(query)
     remove(spark, at, progress)
+    if late:
+        raise LateMessages(f"{late} messages came more than {lateness} behind")
+    keep_until_exit(spark, out)
     return spark.read.schema(RESULT).parquet(out)
 
 
@@ -124,19 +148,21 @@ def _ranked(messages: DataFrame) -> DataFrame:
     root = Window.partitionBy("root_id")
     whole = messages.groupBy("root_id").agg(F.bool_or(F.col("broken") | F.col("at").isNull()).alias("bad"), F.min(F.when(~F.col("brand") & F.col("visible"), F.struct("at", "tweet_id"))).alias("asked"), F.max(F.when(F.col("brand") & F.col("visible"), F.struct("at", "tweet_id"))).alias("answered"))
     good = whole.filter("not bad and answered > asked").select("root_id")
-    rows = messages.filter("visible").join(F.broadcast(good), "root_id").withColumn("hour", F.expr("at div 3600000000"))
+    rows = messages.filter("visible").join(good, "root_id").withColumn("hour", F.expr("at div 3600000000"))
     counts = rows.groupBy("root_id", "hour").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(root.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("root_id", "hour").orderBy("at", "tweet_id")))
     return ranked.join(offsets.drop("n"), ["root_id", "hour"]).select("root_id", (F.col("rank") + F.col("offset")).cast("long").alias("position"), "tweet_id", F.when(F.col("brand"), "brand").otherwise("customer").alias("role"))
 
 
-def rebuild(twcs: DataFrame, accounts: DataFrame, *, idle: str = "14 days", lateness: str = "7 days", max_local: int = 100_000) -> DataFrame:
+def rebuild(twcs: DataFrame, accounts: DataFrame, *, idle: str = "14 days", lateness: str = "7 days", max_local: int = 100_000, slices: int = 1) -> DataFrame:
     """root_id, position, tweet_id, role of every message of a kept conversation."""
     ship(twcs.sparkSession)
     messages = stage(messages_of(twcs, accounts), "keyed")
     large = messages.filter(F.col("size") > max_local)
-    out = _replayed(messages.filter(F.col("size") <= max_local), idle, lateness)
-    if large.limit(1).count():  # at most rows / max_local conversations
+    out = _replayed(messages.filter(F.col("size") <= max_local), idle, lateness, slices)
+    if not large.limit(1).count():
+        unstage(messages)
+    else:  # at most rows / max_local conversations
         out = out.unionByName(_ranked(large))
     return out

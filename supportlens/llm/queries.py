@@ -94,6 +94,14 @@ l AS (SELECT tweet_id AS id, m, c, nullif(regexp_extract(CASE WHEN regexp_full_m
 e AS (SELECT a.*, b.id AS parent FROM l a LEFT JOIN l b ON a.up = b.id),
 t AS (SELECT id, id AS root, up IS NOT NULL AS orphan FROM e WHERE parent IS NULL UNION ALL SELECT e.id, t.root, t.orphan FROM t JOIN e ON e.parent = t.id)"""
 
+_COPIES = r"""WITH x AS (SELECT resolution_id AS id, unnest([customer_text, brand_text]) AS t, unnest([1, 2]) AS side FROM historical_resolution WHERE resolution_id IS NOT NULL),
+y AS (SELECT id, side, regexp_replace(replace(lower(coalesce(t, '')), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') AS plain,
+  CASE WHEN regexp_matches(t, '^[^\p{L}\p{N}]*\p{L}[\p{L} ]{0,24}\s*[:=]') THEN string_split(regexp_replace(t, '[\n;|]+([^\p{L}\p{N}]*\p{L}[\p{L} ]{0,24}\s*[:=])', chr(1) || '\1', 'g'), chr(1)) END AS parts FROM x),
+z AS (SELECT id, side, plain, CASE WHEN len(parts) > 1 THEN array_to_string(list_sort(list_filter(list_transform(parts, lambda p: regexp_replace(replace(lower(p), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g')), lambda p: p <> '')), chr(10)) END AS nested FROM y),
+r AS (SELECT id, list_sort(list(plain)) AS k, CASE WHEN bool_or(nested IS NOT NULL) THEN list_sort(list(coalesce(nested, plain))) END AS f FROM z GROUP BY 1),
+g AS (SELECT id, coalesce(array_to_string(min(f) OVER (PARTITION BY k), chr(2)), array_to_string(k, chr(2))) AS key FROM r)
+"""
+
 SQL: dict[str, str] = {
     "p5_found": "WITH RECURSIVE" + _LINKS + r""",
 f AS (SELECT id AS tweet_id, root, orphan, regexp_replace(m.txt, '[\s\p{Z}\p{C}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{2800}\x{3164}\x{FE00}-\x{FE0F}]', '', 'g') <> '' AS visible,
@@ -111,11 +119,6 @@ c AS (SELECT side, id, w, count(*) AS c FROM w GROUP BY 1, 2, 3), n AS (SELECT s
 s AS (SELECT a.id AS e, b.id AS t, sum(least(a.c, b.c)) AS k FROM c a JOIN c b ON a.w = b.w AND a.side = 'e' AND b.side = 't' GROUP BY 1, 2)
 SELECT e AS example_id, t AS resolution_id FROM s JOIN n x ON x.side = 'e' AND x.id = e JOIN n y ON y.side = 't' AND y.id = t WHERE 5 * k >= 4 * greatest(x.n, y.n)
 UNION SELECT a.id, b.id FROM src a JOIN src b ON a.conv = b.conv AND a.side = 'e' AND b.side = 't'""",
-    "p7_found": r"""WITH x AS (SELECT resolution_id AS id, unnest([customer_text, brand_text]) AS t, unnest([1, 2]) AS side FROM historical_resolution WHERE resolution_id IS NOT NULL),
-y AS (SELECT id, side, regexp_replace(replace(lower(coalesce(t, '')), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') AS plain,
-  CASE WHEN regexp_matches(t, '^[^\p{L}\p{N}]*\p{L}[\p{L} ]{0,24}\s*[:=]') THEN string_split(regexp_replace(t, '[\n;|]+([^\p{L}\p{N}]*\p{L}[\p{L} ]{0,24}\s*[:=])', chr(1) || '\1', 'g'), chr(1)) END AS parts FROM x),
-z AS (SELECT id, side, plain, CASE WHEN len(parts) > 1 THEN array_to_string(list_sort(list_filter(list_transform(parts, lambda p: regexp_replace(replace(lower(p), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g')), lambda p: p <> '')), chr(10)) END AS nested FROM y),
-r AS (SELECT id, list_sort(list(plain)) AS k, CASE WHEN bool_or(nested IS NOT NULL) THEN list_sort(list(coalesce(nested, plain))) END AS f FROM z GROUP BY 1),
-g AS (SELECT id, coalesce(array_to_string(min(f) OVER (PARTITION BY k), chr(2)), array_to_string(k, chr(2))) AS key FROM r)
-SELECT kept_id, id AS copy_id FROM (SELECT id, min(id) OVER (PARTITION BY key) AS kept_id FROM g) WHERE id <> kept_id""",
+    "p7_found": _COPIES + "SELECT kept_id, id AS copy_id FROM (SELECT id, min(id) OVER (PARTITION BY key) AS kept_id FROM g) WHERE id <> kept_id",
+    "p7_collapsed": _COPIES + "SELECT min(id) AS kept_id, count(*) AS copies FROM g GROUP BY key",
 }

@@ -60,3 +60,29 @@ def test_arrivals_outside_of_the_watermarks_range_are_kept(spark):
     items = [(n, f"{9000 + 10 * k + n}", "77" if n == 1 else "Brand", str(n == 1), T0.strftime("%Y-%m-%dT%H:%M:%SZ"), "a", None, None if n == 1 else f"{9001 + 10 * k}", at, 0) for k, at in enumerate(times) for n in (1, 2)]
     want = {(str(9001 + 10 * k), n, f"{9000 + 10 * k + n}", "customer" if n == 1 else "brand") for k in range(4) for n in (1, 2)}
     assert {tuple(r) for r in C.rebuild(spark.createDataFrame(items, SCHEMA), accounts(spark)).collect()} == want
+
+
+def test_replay_in_slices_by_arrival(spark):
+    """Several micro-batches in the order of arrival give the same, as long as no conversation pauses longer than ``idle``."""
+    df = rows(spark, ITEMS)
+    assert {tuple(r) for r in C.rebuild(df, accounts(spark), slices=3).collect()} == WANT
+
+
+def test_what_the_watermark_drops_is_counted(spark):
+    us = int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    near, far = T0, T0 + dt.timedelta(days=100)
+    # the first slice ends with an arrival so late that the next one is behind the watermark: brought in the wrong order
+    messages = [(0, "a", "1", us, False, True, False, far), (0, "b", "2", us, False, True, False, near)]
+    df = spark.createDataFrame(messages, C.MESSAGE)
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        df.filter("root_id = 'a'").coalesce(1).write.parquet(f"{d}/in")
+        run = lambda: C.assemble(spark.readStream.schema(C.MESSAGE).parquet(f"{d}/in")).writeStream.format("parquet").option("path", f"{d}/out").option("checkpointLocation", f"{d}/cp").trigger(availableNow=True).start()
+        q = run()
+        q.awaitTermination()
+        assert C.dropped_late(q) == 0
+        df.filter("root_id = 'b'").coalesce(1).write.mode("append").parquet(f"{d}/in")
+        q = run()
+        q.awaitTermination()
+        assert C.dropped_late(q) == 1
