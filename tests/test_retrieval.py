@@ -11,7 +11,7 @@ from supportlens.operators import retrieval, vectors
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["retrieval_quality", "retrieve_by_intent", "retrieval_retry", "retrieve_topk"])
+@pytest.mark.parametrize("name", ["retrieval_quality", "retrieve_by_intent", "retrieval_retry", "retrieve_topk", "retrieve_min_score"])
 def test_no_join_of_queries_and_rows_on_terms(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "term#" not in plan and "weight#" not in plan
