@@ -57,3 +57,28 @@ def test_queries_in_slices(spark, monkeypatch):
     whole = sorted(map(tuple, index.search_own("id % 2 = 0", 5).collect()))
     monkeypatch.setattr(retrieval, "SLICE", 3)
     assert sorted(map(tuple, index.search_own("id % 2 = 0", 5).collect())) == whole and len({r[0] for r in whole}) > 9
+
+
+def test_blocks_are_bounded_by_words(monkeypatch):
+    monkeypatch.setattr(vectors, "WORDS", 10)
+    words = pa.array([[["a"] * 3, ["b"] * 2], [["c"] * 5], [], [["d"] * 12], [["e"] * 4]] * 3, pa.list_(pa.list_(pa.string())))
+    got = list(vectors.blocks(iter(pa.table({"words": words}).to_batches()), "words"))
+    sizes = [[sum(map(len, texts)) for texts in t.column("words").to_pylist()] for t in got]
+    assert sum(sizes, []) == [5, 5, 0, 12, 4] * 3 and all(sum(s) <= 10 or len(s) == 1 for s in sizes)
+
+
+@pytest.mark.parametrize("least", [0.0, 0.3])
+def test_a_task_returns_no_more_than_k_rows_of_a_query(monkeypatch, least):
+    rng = np.random.default_rng(7)
+    terms = [sorted(rng.choice(8, rng.integers(1, 5), replace=False).tolist()) for _ in range(50)]
+    index = pa.table({"id": rng.permutation(50), "codes": pa.array(terms, pa.list_(pa.int32())), "ns": pa.array([[1] * len(t) for t in terms], pa.list_(pa.int32())), "kinds": [["a"]] * 50})
+    asked = index.select(["id", "codes", "ns"]).append_column("skip", pa.array([[x] for x in index.column("id").to_pylist()], pa.list_(pa.int64())))
+    idf = np.linspace(1, 2, 8)
+
+    def run():
+        batches = vectors.best(SimpleNamespace(value=vectors.sent(asked, idf)), SimpleNamespace(value=(None, idf)), 3, least)(iter(index.to_batches(max_chunksize=5)))
+        return sorted((r["query_id"], -r["score"], r["id"]) for b in batches for r in b.to_pylist())
+
+    whole = run()
+    monkeypatch.setattr(vectors, "ROWS", 6)
+    assert run() == whole and max(np.bincount([r[0] for r in whole])) == 3
