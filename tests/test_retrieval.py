@@ -1,4 +1,5 @@
 import random
+import time
 from types import SimpleNamespace
 
 import numpy as np
@@ -82,3 +83,17 @@ def test_a_task_returns_no_more_than_k_rows_of_a_query(monkeypatch, least):
     whole = run()
     monkeypatch.setattr(vectors, "ROWS", 6)
     assert run() == whole and max(np.bincount([r[0] for r in whole])) == 3
+
+
+@pytest.mark.parametrize("name", ["retrieve_topk"])
+def test_no_shuffle_files_stay_once_a_search_is_staged(spark, name):
+    def left():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_"))
+
+    before = left()
+    entry.queries()[name](spark, SF)
+    until = time.time() + 10
+    while left() - before > 5000 and time.time() < until:
+        time.sleep(0.2)
+    assert left() - before <= 5000
