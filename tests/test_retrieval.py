@@ -85,7 +85,7 @@ def test_a_task_returns_no_more_than_k_rows_of_a_query(monkeypatch, least):
     assert run() == whole and max(np.bincount([r[0] for r in whole])) == 3
 
 
-@pytest.mark.parametrize("name", ["retrieve_topk"])
+@pytest.mark.parametrize("name", ["retrieve_topk", "retrieval_retry"])
 def test_no_shuffle_files_stay_once_a_search_is_staged(spark, name):
     def left():
         files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
