@@ -4,6 +4,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -97,3 +98,27 @@ def test_no_shuffle_files_stay_once_a_search_is_staged(spark, name):
     while left() - before > 5000 and time.time() < until:
         time.sleep(0.2)
     assert left() - before <= 5000
+
+
+def same_as_sql(spark, at, name):
+    duck = pytest.importorskip("duckdb").connect()
+    for p in at.glob("*.parquet"):
+        duck.execute(f"create view {p.stem} as select * from '{p}'")
+    cur = duck.execute(entry.oracle_sql()[name])
+    want = [dict(zip([d[0] for d in cur.description], r)) for r in cur.fetchall()]
+    got = [r.asDict() for r in entry.queries()[name](spark, str(at)).collect()]
+    order = lambda rows: sorted((dict(sorted(r.items())) for r in rows), key=str)
+    assert order(got) == order(want)
+    return got
+
+
+def texts(rng, n):
+    return [" ".join(rng.choice("red green blue grey pink late lost broken".split()) for _ in range(rng.randrange(2, 7))) for _ in range(n)]
+
+
+def test_quality_is_of_every_document(spark, tmp_path):
+    rng = random.Random(4)
+    ids = [i for i in range(1, 45) if i % 20]
+    pq.write_table(pa.table({"doc_id": ids, "text": texts(rng, len(ids)), "doc_kind": [rng.choice(["a", "b", None]) for _ in ids]}), tmp_path / "documents.parquet")
+    (row,) = same_as_sql(spark, tmp_path, "retrieval_quality")
+    assert row["queries"] == len(ids)
