@@ -122,3 +122,15 @@ def test_quality_is_of_every_document(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": ids, "text": texts(rng, len(ids)), "doc_kind": [rng.choice(["a", "b", None]) for _ in ids]}), tmp_path / "documents.parquet")
     (row,) = same_as_sql(spark, tmp_path, "retrieval_quality")
     assert row["queries"] == len(ids)
+
+
+def test_every_message_is_searched(spark, tmp_path):
+    rng = random.Random(6)
+    pq.write_table(pa.table({
+        "resolution_id": [f"r{i}" for i in range(30)], "conversation_id": [f" C{i}" for i in range(30)], "customer_text": texts(rng, 30), "brand_text": ["sorry"] * 30,
+        "intent": [rng.choice(["late_delivery", "lost_item"]) for _ in range(30)]}), tmp_path / "historical_resolution.parquet")
+    ids = [f"e-{i}" for i in range(1, 42) if i % 20]
+    pq.write_table(pa.table({
+        "example_id": ids, "conversation_id": [f"c{rng.randrange(60)}" for _ in ids], "customer_message": [f"{x} {y}" for x, y in zip(texts(rng, len(ids)), ["unheard of words"] * 20 + [""] * len(ids))],
+        "pred_intent": [rng.choice(["late_delivery", "other_unclear", None]) for _ in ids], "intent_confidence": [rng.random() for _ in ids]}), tmp_path / "agent_evaluation.parquet")
+    assert len(same_as_sql(spark, tmp_path, "retrieval_retry")) == len(ids)
